@@ -96,7 +96,7 @@ def monthly_history(ratings: DataFrame, key: str) -> DataFrame:
     variance = F.greatest((F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))
     return _running(monthly, key, ["n", "s", "ss"]).select(
         key, _month_start(F.col("month") + 1).alias("event_timestamp"),
-        (F.col("s") / F.col("n")).alias("avg_rating"),
+        F.try_divide("s", "n").alias("avg_rating"),
         F.col("n").alias("rating_count"),
         F.when(F.col("n") > 1, F.sqrt(variance)).otherwise(0.0).alias("rating_stddev"),
         "month")
