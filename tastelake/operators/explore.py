@@ -78,11 +78,13 @@ def genre_breakdown(movies: DataFrame) -> DataFrame:
 
 def prerequisite_report(ratings: DataFrame, feature_tables: dict[str, DataFrame]) -> DataFrame:
     """Rows, distinct keys and range of the ratings; rows and column names of each feature table."""
-    users = _activity(ratings, "user_id").agg(F.count("*")).scalar()
+    per_user = ratings.groupBy("user_id").agg(
+        F.count("*").alias("n"), F.min("rating").alias("lo"), F.max("rating").alias("hi"))
     movies = _activity(ratings, "movie_id").agg(F.count("*")).scalar()
-    report = ratings.agg(
-        F.count("*").alias("n_rows"), F.min("rating").alias("min_rating"), F.max("rating").alias("max_rating"),
-    ).select(F.lit("ratings").alias("table_name"), "n_rows", users.alias("n_users"), movies.alias("n_movies"),
+    report = per_user.agg(
+        F.sum("n").alias("n_rows"), F.count("*").alias("n_users"),
+        F.min("lo").alias("min_rating"), F.max("hi").alias("max_rating"),
+    ).select(F.lit("ratings").alias("table_name"), "n_rows", "n_users", movies.alias("n_movies"),
              "min_rating", "max_rating", F.lit(None).cast("string").alias("columns"))
     for name, df in feature_tables.items():
         row = df.agg(F.count("*").alias("n_rows")).withColumns(

@@ -52,7 +52,8 @@ def genre_affinity(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     combos = joined.groupBy("user_id", "genres").agg(F.count("rating").alias("n"), F.sum("rating").alias("s"))
     per_genre = (combos.select("user_id", "n", "s", F.explode(genre_tokens("genres")).alias("genre"))
                  .groupBy("user_id", "genre").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
-    totals = per_genre.groupBy("user_id").agg(F.sum("n").alias("total"))
-    return per_genre.join(totals, "user_id").select(
+    # one row per user and genre, so a window holds at most the number of genres
+    total = F.sum("n").over(Window.partitionBy("user_id"))
+    return per_genre.withColumn("total", total).select(
         "user_id", "genre", F.col("n").alias("rating_count"),
         F.try_divide("s", "n").alias("avg_rating"), F.try_divide("n", "total").alias("share"))

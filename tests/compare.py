@@ -1,0 +1,38 @@
+"""Order-insensitive comparison of two result frames, strict on values."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import pandas as pd
+
+
+def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return con
+
+
+def compare(left: pd.DataFrame, right: pd.DataFrame) -> str | None:
+    """None if equal, otherwise the first difference."""
+    if sorted(left.columns) != sorted(right.columns):
+        return f"columns {sorted(left.columns)} != {sorted(right.columns)}"
+    if len(left) != len(right):
+        return f"rows {len(left)} != {len(right)}"
+    cols = sorted(left.columns)
+    for c in cols:
+        kinds = {"f" if df[c].dtype.kind == "f" else "i" if df[c].dtype.kind in "iu" else df[c].dtype.kind for df in (left, right)}
+        nulls = left[c].isna().any()
+        if len(kinds) > 1 and not nulls:
+            return f"type of {c}: {left[c].dtype} != {right[c].dtype}"
+    a, b = (df[cols].sort_values(cols, na_position="last").reset_index(drop=True) for df in (left, right))
+    for c in cols:
+        x, y = a[c], b[c]
+        same = (x == y) | (x.isna() & y.isna())
+        if not same.all():
+            i = (~same).idxmax()
+            return f"{(~same).sum()} differences in {c}, first at {i}:\n{a.iloc[i].to_dict()}\n{b.iloc[i].to_dict()}"
+    return None
