@@ -38,12 +38,13 @@ def iso_utc(epoch: str | Column) -> Column:
 
 
 def genre_tokens(c: str | Column) -> Column:
-    return F.split(c, "[|]")
+    return F.split(c, r"\|")
 
 
 def genre_count(c: str | Column) -> Column:
     """Number of pipe-separated tokens; NULL stays NULL."""
-    return F.regexp_count(c, F.lit("[|]")) + 1
+    bars = F.length(c) - F.length(F.replace(F.col(c) if isinstance(c, str) else c, F.lit("|"), F.lit("")))
+    return bars + 1
 
 
 def sample_std(c: str | Column) -> Column:

@@ -18,12 +18,11 @@ def rating_stats(ratings: DataFrame, key: str) -> DataFrame:
 def unique_genres(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     """Distinct genre labels over all movies a user rated; ratings without a movie drop out.
 
-    (user, genres) pairs are made distinct before the explode, so the explode sees one row per
-    genre combination of a user and not one per rating.
+    Labels are exploded before the shuffle and (user, genre) pairs combine in each task, so a busy
+    user sends at most one row per genre and task.
     """
     pairs = ratings.select("user_id", "movie_id").join(movies.select("movie_id", "genres"), "movie_id")
-    return (pairs.select("user_id", "genres").distinct()
-            .select("user_id", F.explode(genre_tokens("genres")).alias("genre")).distinct()
+    return (pairs.select("user_id", F.explode(genre_tokens("genres")).alias("genre")).distinct()
             .groupBy("user_id").agg(F.count("*").alias("unique_genres_rated")))
 
 

@@ -356,9 +356,7 @@ def result_count_histogram(spark, sf_dir):
 
 def _trained(spark, sf_dir):
     r, m = views.ratings(spark, sf_dir), views.movies(spark, sf_dir)
-    split = tables.write_snapshot(
-        training.split_features(tables.write_snapshot(_training_set(spark, sf_dir), new_path(spark, "training"))),
-        new_path(spark, "split"))
+    split = training.split_features(tables.write_snapshot(_training_set(spark, sf_dir), new_path(spark, "training")))
     train, held = (split.filter(F.col("split") == s) for s in ("train", "validation"))
     ranker = ranking.Ranker(num_rounds=RANKER_ROUNDS).fit(train, held, ranking.FEATURES)
     return r, m, ranker
