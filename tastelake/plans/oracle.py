@@ -248,9 +248,9 @@ SELECT CAST(label AS BIGINT) AS label, CAST(dim AS INTEGER) AS dim, round(x, 6)
     q["knn_topn"] = f"""WITH {VECTORS}, s AS (
   SELECT a.item_id, b.item_id AS neighbour_id, round(list_dot_product(a.vec, b.vec), 9) AS s
   FROM v a JOIN v b ON a.item_id <> b.item_id)
-SELECT item_id, neighbour_id, round(s, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, neighbour_id) AS "rank"
+SELECT item_id, neighbour_id, s AS score, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, neighbour_id) AS "rank"
 FROM s QUALIFY "rank" <= 10"""
-    top = """SELECT CAST(label AS BIGINT) AS label, item_id, round(s, 6) AS score,
+    top = """SELECT CAST(label AS BIGINT) AS label, item_id, s AS score,
   row_number() OVER (PARTITION BY label ORDER BY s DESC, item_id) AS "rank" FROM label_scores {0} QUALIFY "rank" <= 100"""
     q["user_item_topn"] = f"WITH {VECTORS} {top.format('')}"
     q["exclude_seen"] = f"WITH {VECTORS} {top.format('WHERE label <> item_label')}"

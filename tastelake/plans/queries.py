@@ -225,14 +225,14 @@ def normalised_vectors(spark, sf_dir):
 
 @query
 def knn_topn(spark, sf_dir):
-    return _rounded(retrieval.nearest_neighbours(views.item_vectors(spark, sf_dir), 10), "score")
+    return retrieval.nearest_neighbours(views.item_vectors(spark, sf_dir), 10)
 
 
 @query
 def user_item_topn(spark, sf_dir):
     """Labels as users, vectors as items."""
     labels = _label_sums(spark, sf_dir).select("label", l2_normalised("vec").alias("vec"))
-    return _rounded(retrieval.top_n(labels, views.item_vectors(spark, sf_dir), 100, user="label", item="item_id"), "score")
+    return retrieval.top_n(labels, views.item_vectors(spark, sf_dir), 100, user="label", item="item_id")
 
 
 @query
@@ -241,7 +241,7 @@ def exclude_seen(spark, sf_dir):
     items = views.item_vectors(spark, sf_dir)
     labels = _label_sums(spark, sf_dir).select("label", l2_normalised("vec").alias("vec"))
     seen = items.select(F.col("label").cast("long").alias("label"), "item_id")
-    return _rounded(retrieval.top_n(labels, items, 100, user="label", item="item_id", seen=seen), "score")
+    return retrieval.top_n(labels, items, 100, user="label", item="item_id", seen=seen)
 
 
 @query
