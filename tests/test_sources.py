@@ -34,6 +34,8 @@ def test_feature_tables_keep_earlier_snapshots(spark, ratings, movies, tmp_path)
         assert rows(df.groupBy("as_of").count(), "count") == [(n,), (n,)]
     latest = lookup.latest_per_key(tables.read_features(spark, root, catalog.USER_STATS), ["user_id"])
     assert latest.count() == 3 and latest.filter("as_of <> '1970-01-03'").count() == 0
+    online = spark.read.parquet(tables.write_online(spark, root, catalog.MOVIE_STATS, str(tmp_path / "online")))
+    assert online.count() == 4 and rows(online.select(F.unix_seconds("event_timestamp")).distinct()) == [(2 * 86_400 + 5,)]
 
 
 def test_catalog(spark):
