@@ -44,14 +44,10 @@ def rolling_average(ratings: DataFrame, key: str = "user_id", seconds: int = WEE
 
 
 def genre_affinity(ratings: DataFrame, movies: DataFrame) -> DataFrame:
-    """Per user and genre: ratings, their mean and the share of the user's genre labels.
-
-    Ratings shrink to (user, genres) before the explode.
-    """
+    """Per user and genre: ratings, their mean and the share of the user's genre labels."""
     joined = ratings.select("user_id", "movie_id", "rating").join(movies.select("movie_id", "genres"), "movie_id")
-    combos = joined.groupBy("user_id", "genres").agg(F.count("rating").alias("n"), F.sum("rating").alias("s"))
-    per_genre = (combos.select("user_id", "n", "s", F.explode(genre_tokens("genres")).alias("genre"))
-                 .groupBy("user_id", "genre").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    per_genre = (joined.select("user_id", "rating", F.explode(genre_tokens("genres")).alias("genre"))
+                 .groupBy("user_id", "genre").agg(F.count("rating").alias("n"), F.sum("rating").alias("s")))
     # one row per user and genre, so a window holds at most the number of genres
     total = F.sum("n").over(Window.partitionBy("user_id"))
     return per_genre.withColumn("total", total).select(

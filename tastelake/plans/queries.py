@@ -318,8 +318,8 @@ def _event_candidates(spark, sf_dir) -> DataFrame:
 
 def _serving(spark, sf_dir) -> DataFrame:
     r, m = views.ratings(spark, sf_dir), views.catalogued_movies(spark, sf_dir)
-    return recommend.candidate_features(
-        _event_candidates(spark, sf_dir), features.user_stats(r, m), features.movie_stats(r, m))
+    stats = [materialise(df, "stats") for df in (features.user_stats(r, m), features.movie_stats(r, m))]
+    return recommend.candidate_features(_event_candidates(spark, sf_dir), *stats)
 
 
 @query
