@@ -148,7 +148,7 @@ def genre_breakdown(spark, sf_dir):
 # training set -------------------------------------------------------------------------------
 
 def _training_set(spark, sf_dir) -> DataFrame:
-    r = views.ratings(spark, sf_dir)
+    r = materialise(_plain_ratings(spark, sf_dir), "ratings")
     return training.training_set(r, training.history_sources(r, views.movies(spark, sf_dir)))
 
 

@@ -31,13 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session without the setting gets a temporary one.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tastelake-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tastelake-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
