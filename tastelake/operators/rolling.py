@@ -30,17 +30,24 @@ def running_stats(events: DataFrame, key: str, ts: str = "timestamp") -> DataFra
 def rolling_average(ratings: DataFrame, key: str = "user_id", seconds: int = WEEK_SECONDS) -> DataFrame:
     """Mean rating of a key over the ``seconds`` up to each time it rated, ends included.
 
-    Ratings first shrink to one row per (key, time). Time is cut into slices one window long; each
-    row also enters the next slice as context, so a slice is complete on its own and the rows of one
-    busy key spread over many tasks.
+    Ratings first shrink to one row per (key, time). A row adds its rating when it comes and takes it
+    back once it is too old, so the mean is a running sum and its cost does not grow with the window.
+    Time is cut into slices one window long; rows of the slice before are repeated in the next, so a
+    slice is complete on its own and the rows of one busy key spread over many tasks.
     """
     moments = ratings.groupBy(key, "timestamp").agg(F.sum("rating").alias("s"), F.count("rating").alias("n"))
-    own = F.floor(F.col("timestamp") / seconds)
-    placed = moments.withColumn("own", own).withColumn("slice", F.explode(F.array("own", F.col("own") + 1)))
-    w = Window.partitionBy(key, "slice").orderBy("timestamp").rangeBetween(-seconds, 0)
-    summed = placed.withColumns({"total": F.sum("s").over(w), "rating_count": F.sum("n").over(w)})
-    return summed.filter(F.col("slice") == F.col("own")).select(
-        key, "timestamp", "rating_count", F.try_divide("total", "rating_count").alias("avg_rating"))
+    ts, slice_ = F.col("timestamp"), F.floor(F.col("timestamp") / seconds)
+
+    def change(slice_, at, sign, own):
+        return F.struct(slice_.alias("slice"), at.alias("at"), (F.col("s") * sign).alias("ds"),
+                        (F.col("n") * sign).alias("dn"), F.lit(own).alias("own"))
+
+    changes = moments.select(key, F.inline(F.array(
+        change(slice_, ts, 1, True), change(slice_ + 1, ts, 1, False), change(slice_ + 1, ts + seconds + 1, -1, False))))
+    so_far = Window.partitionBy(key, "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    summed = changes.withColumns({"total": F.sum("ds").over(so_far), "rating_count": F.sum("dn").over(so_far)})
+    return summed.filter("own").select(
+        key, F.col("at").alias("timestamp"), "rating_count", F.try_divide("total", "rating_count").alias("avg_rating"))
 
 
 def genre_affinity(ratings: DataFrame, movies: DataFrame) -> DataFrame:
