@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 from tastelake.operators import features
+from tastelake.session import together
 from tastelake.sources import catalog, tables
 
 
@@ -18,4 +19,6 @@ def feature_frames(ratings: DataFrame, movies: DataFrame, as_of: Column | None =
 
 def generate_features(ratings: DataFrame, movies: DataFrame, root: str, as_of: Column | None = None) -> dict[str, str]:
     """Write the three tables under ``root``; returns their paths by view."""
-    return {view.name: tables.write_features(df, root, view) for view, df in feature_frames(ratings, movies, as_of)}
+    frames = feature_frames(ratings, movies, as_of)
+    paths = together(ratings.sparkSession, [lambda v=v, df=df: tables.write_features(df, root, v) for v, df in frames])
+    return {view.name: path for (view, _), path in zip(frames, paths)}
