@@ -15,10 +15,13 @@ from tastelake.llm.winnowing import text_key
 from tastelake.session import materialise
 
 GRAM = 16                   # bytes of an anchor; every window selects the least-hashed one inside it
-BUCKET_BYTES = 32 << 20     # text per bucket of anchors
-FLUSH_RECORDS = 2_000_000   # anchors a task holds before it sends them
-HOT_CONTEXTS = 8            # an anchor with more surroundings than this in one flush is sent once
+BUCKET_BYTES = 16 << 20     # text per bucket of anchors
+FLUSH_RECORDS = 1_000_000   # anchors a task holds before it sends them
+HOT_CONTEXTS = 64           # an anchor with more surroundings than this in one flush is sent once
 FLUSH_WINDOWS = 200_000
+SORT_WINDOWS = 4_000        # about as many suffixes are sorted at once
+SEVERAL = 255
+DEPTHS = (4, 9)             # bytes beside an anchor that short hashes cover, besides half the rest of a window
 _WINDOW_BASE = 0xC2B2AE3D27D4EB4F
 
 SPAN = "doc_id long, variant int, kind int, start long, end long"
@@ -81,9 +84,9 @@ class Anchors:
         self.window, self.gram, self.powers = window, gram, Powers()
 
     def of(self, buf: np.ndarray, offsets: np.ndarray, doc: np.ndarray, variant: np.ndarray) -> dict[str, np.ndarray] | None:
-        """Records (fp, ctx, doc, variant, s, r, at, left, right): the windows at s .. s + r - 1 select the anchor at s + at
-        with hash fp; ctx is the hash of all their bytes; left and right are short hashes of the half of the rest of a
-        window on each side, 0 where the text ends before."""
+        """Records (fp, ctx, doc, variant, s, r, at, left.., right..): the windows at s .. s + r - 1 select the anchor at s + at
+        with hash fp; ctx is the hash of all their bytes; left and right are short hashes of the bytes beside the anchor, up
+        to half of what a window has besides it, 0 where the text ends before."""
         n, k, width = len(buf), self.gram, self.window - self.gram + 1
         if n < self.window:
             return None
@@ -102,18 +105,22 @@ class Anchors:
         place = np.full(len(s), -1)
         for o in range(width):
             place[(place < 0) & (grams[s + o] == fp)] = o
+        again = np.zeros(len(s), bool)  # the anchor's bytes stand more than once in these windows
+        for o in range(2 * width):
+            again |= (o > place) & (s + o < e + width - 1) & (grams[np.minimum(s + o, n - k)] == fp)
         row = np.searchsorted(offsets, s, "right") - 1
         half, p = (self.window - k) // 2, s + place
 
-        def short(a: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        def short(a: np.ndarray, size: int, fits: np.ndarray) -> np.ndarray:
             out = np.zeros(len(s), np.uint8)
-            out[fits] = (self.powers.between(prefix, a[fits], a[fits] + half) % np.uint64(255)).astype(np.uint8) + 1
+            out[fits] = (self.powers.between(prefix, a[fits], a[fits] + size) % np.uint64(255)).astype(np.uint8) + 1
             return out
 
         return {"fp": fp, "ctx": self.powers.between(prefix, s, e + self.window - 1) & np.uint64((1 << 48) - 1),
                 "doc": doc[row], "variant": variant[row], "s": (s - offsets[row]).astype(np.int32), "r": (e - s).astype(np.int32),
-                "at": place.astype(np.uint8), "left": short(p - half, p - half >= offsets[row]),
-                "right": short(p + k, p + k + half <= offsets[row + 1])}
+                "at": np.where(again, SEVERAL, place).astype(np.uint8)} | {
+            f"left{d}": short(p - d, d, p - d >= offsets[row]) for d in (*DEPTHS, half)} | {
+            f"right{d}": short(p + k, d, p + k + d <= offsets[row + 1]) for d in (*DEPTHS, half)}
 
 
 def settle(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -139,24 +146,29 @@ def _spans(x: dict[str, np.ndarray], chosen: np.ndarray, reach: int) -> dict[str
 def open_ranges(x: dict[str, np.ndarray], chosen: np.ndarray, whole: np.ndarray, window: int, gram: int) -> tuple:
     """Windows [start, end) of the chosen records that another text with the anchor may hold.
 
-    A window is an anchor and ``window - gram`` bytes beside it, so of two equal windows half of these bytes agree on the
-    left or on the right of the anchor. Where no other surroundings of the anchor agree on a side, the windows that
-    would need it are left out; not for the records ``whole``.
+    A window is an anchor with ``window - gram`` bytes beside it. An equal one has the same bytes on both sides, so where no other
+    surroundings agree with a record's on a side beyond some depth, windows that reach beyond are left out; not for the
+    records ``whole``.
     """
     i = np.flatnonzero(chosen)
-    group, left, right = x["group"][i], x["left"][i], x["right"][i]
+    group, rest = x["group"][i], window - gram
+    repeats = (x["at"] == SEVERAL) | (x["r"] > rest + 1)  # then windows may agree by another place of the anchor
+    everything = whole[i] | (np.bincount(x["group"], repeats)[x["group"]][i] > 0)
+
+    def reach(side: str) -> np.ndarray:
+        """Most bytes that may agree."""
+        most = np.full(len(i), DEPTHS[0] - 1)
+        for d, beyond in zip((*DEPTHS, rest // 2), (*DEPTHS[1:], rest // 2, rest + 1)):
+            code = x[f"{side}{d}"][i]
+            _, inverse, count = np.unique(group * 256 + code, return_inverse=True, return_counts=True)
+            most = np.where((count[inverse] > 1) & (code > 0), beyond - 1, most)
+        return np.where(everything, rest, most)
 
-    def shared(side: np.ndarray) -> np.ndarray:
-        _, inverse, count = np.unique(group * 256 + side, return_inverse=True, return_counts=True)
-        return (count[inverse] > 1) & (side > 0)
-
-    everything = whole[i] | (x["r"][i] > window - gram + 1)
-    on_left, on_right = shared(left) | everything, shared(right) | everything
     start = x["s"][i].astype(np.int64)
-    end, p, half = start + x["r"][i], start + x["at"][i], (window - gram) // 2
-    begin = np.where(on_left, start, np.maximum(start, p - half))
-    stop = np.where(on_right, end, np.minimum(end, p - half + 1))
-    keep = (on_left | on_right) & (begin < stop)
+    end, p = start + x["r"][i], start + x["at"][i]
+    begin = np.where(everything, start, np.maximum(start, p - reach("left")))
+    stop = np.where(everything, end, np.minimum(end, p - (rest - reach("right")) + 1))
+    keep = begin < stop
     return x["doc"][i][keep], x["variant"][i][keep], begin[keep], stop[keep]
 
 
@@ -171,6 +183,7 @@ def anchor_spans(docs: DataFrame, window: int, gram: int, n_buckets: int) -> Dat
     anchor with many surroundings it sends one record and leaves the others open, so no anchor fills a bucket.
     """
     bits = np.uint64(n_buckets)
+    sides = [f"{side}{d}" for side in ("left", "right") for d in (*DEPTHS, (window - gram) // 2)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(window, gram)
@@ -194,7 +207,7 @@ def anchor_spans(docs: DataFrame, window: int, gram: int, n_buckets: int) -> Dat
                     "fp_low": (fp & np.uint64(0xFFFFFFFF)).astype(np.uint32), "fp_high": (fp >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8),
                     "ctx_low": (x["ctx"][i] & np.uint64(0xFFFFFFFF)).astype(np.uint32), "ctx_high": (x["ctx"][i] >> np.uint64(32)).astype(np.uint16),
                     "doc": np.diff(x["doc"][i], prepend=0), "variant": x["variant"][i], "s": x["s"][i], "r": x["r"][i], "at": x["at"][i],
-                    "left": x["left"][i], "right": x["right"][i], "hot": flag[i]}, plain=("fp_low", "fp_high", "ctx_low", "ctx_high", "left", "right")))
+                    "hot": flag[i]} | {c: x[c][i] for c in sides}, plain=("fp_low", "fp_high", "ctx_low", "ctx_high", *sides)))
                 names.append(int(b))
             extra = pack({f"d_{k}": v for k, v in done.items()} | dict(zip(("o_doc", "o_variant", "o_start", "o_end"), still)))
             names.append(names[0])
@@ -239,35 +252,37 @@ def anchor_spans(docs: DataFrame, window: int, gram: int, n_buckets: int) -> Dat
 
 
 class Suffixes:
-    """Strings of ``length`` bytes at given places of one buffer, compared by prefix hashes."""
+    """The first ``length`` bytes of suffixes, compared by prefix hashes."""
 
-    def __init__(self, buf: np.ndarray, length: int):
-        self.buf, self.length, self.powers = buf, length, Powers()
-        self.prefix = self.powers.prefixes(buf)
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.length = rows, rows.shape[1]
+        self.prefix = np.zeros((len(rows), self.length + 1), np.uint64)
+        for m in range(self.length):
+            self.prefix[:, m + 1] = self.prefix[:, m] * np.uint64(_WINDOW_BASE) + rows[:, m] + np.uint64(1)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension of the suffixes at a and at b: a binary search over prefix hashes."""
+        """Length of the common extension of suffixes a and b: a binary search over prefix hashes."""
         low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length)
         while (low < high).any():
             mid = (low + high + 1) >> 1
-            same = self.powers.between(self.prefix, a, a + mid) == self.powers.between(self.prefix, b, b + mid)
+            same = self.prefix[a, mid] == self.prefix[b, mid]
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
     def before(self, a: np.ndarray, b: np.ndarray, ties: bool) -> np.ndarray:
-        """The suffix at a is smaller than that at b (or equal, if ``ties``)."""
+        """Suffix a is smaller than b (or equal, if ``ties``)."""
         n = self.common(a, b)
         whole = n >= self.length
         n = np.minimum(n, self.length - 1)
-        return np.where(whole, ties, self.buf[a + n] < self.buf[b + n])
+        return np.where(whole, ties, self.rows[a, n] < self.rows[b, n])
 
-    def sort(self, at: np.ndarray) -> np.ndarray:
-        """``at`` in order of the suffixes: a mergesort, all runs of a level merged together.
+    def sort(self) -> np.ndarray:
+        """The numbers of the suffixes in their order: a mergesort, all runs of a level merged together.
 
         The place of an entry in the merged run is its place in its own run and the number of smaller entries of the
         neighbour run, found by binary search.
         """
-        order, n, run = np.asarray(at), len(at), 1
+        order, n, run = np.arange(len(self.rows)), len(self.rows), 1
         while run < n:
             i = np.arange(n)
             start = i // (2 * run) * (2 * run)
@@ -289,17 +304,14 @@ class Suffixes:
             order, run = merged, 2 * run
         return order
 
-    def classes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in suffix order, class numbers): a class holds the places with the same bytes, compared as bytes."""
-        order = self.sort(at)
-        if not len(order):
-            return order, np.zeros(0, np.int64)
+    def classes(self) -> np.ndarray:
+        """A class number for each suffix, the same for the same bytes; neighbours in order are compared as bytes."""
+        order = self.sort()
         equal = self.common(order[1:], order[:-1]) >= self.length
-        span = np.arange(self.length)
-        for lo in range(0, len(equal), 100_000):
-            i = lo + np.flatnonzero(equal[lo:lo + 100_000])
-            equal[i] = (self.buf[order[i + 1][:, None] + span] == self.buf[order[i][:, None] + span]).all(axis=1)
-        return order, np.concatenate([[0], np.cumsum(~equal)])
+        equal[equal] = (self.rows[order[1:][equal]] == self.rows[order[:-1][equal]]).all(axis=1)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.concatenate([[0], np.cumsum(~equal)])
+        return out
 
 
 def window_spans(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
@@ -371,15 +383,29 @@ def window_spans(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
                 parts.append(x | {"bytes": x["bytes"].reshape(-1, window)})
         if parts:
             x = joined(parts)
-            _, inverse, count = np.unique(x["hash"], return_inverse=True, return_counts=True)
-            twice = count[inverse] > 1
-            x = {k: v[twice] for k, v in x.items()}
-            suffixes = Suffixes(x["bytes"].reshape(-1), window)
-            order, kind = suffixes.classes(np.arange(twice.sum()) * window)
-            order //= window
-            least = np.full(kind[-1] + 1 if len(kind) else 0, np.iinfo(np.int64).max)
-            np.minimum.at(least, kind, x["doc"][order])
-            later = order[x["doc"][order] > least[kind]]
+            order = np.argsort(x["hash"], kind="stable")
+            same = x["hash"][order][1:] == x["hash"][order][:-1]
+            twice = np.zeros(len(order), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            order = order[twice]
+            x = {k: v[order] for k, v in x.items()}
+            new = np.concatenate([[True], x["hash"][1:] != x["hash"][:-1]])
+            begins, group = np.flatnonzero(new), np.cumsum(new) - 1
+            # one suffix per hash is sorted, and those that have its hash but not its bytes
+            odd = ~new & (x["bytes"] != x["bytes"][begins[group]]).any(axis=1)
+            part = (group // SORT_WINDOWS).astype(np.int64)
+            later = [np.zeros(0, np.int64)]
+            for k in range(part[-1] + 1 if len(part) else 0):
+                lo, hi = np.searchsorted(part, [k, k + 1])
+                sorted_ = lo + np.flatnonzero(new[lo:hi] | odd[lo:hi])
+                kinds = Suffixes(x["bytes"][sorted_]).classes()
+                own = np.searchsorted(sorted_, np.where(odd[lo:hi], np.arange(lo, hi), begins[group[lo:hi]]))
+                kind, doc = kinds[own], x["doc"][lo:hi]
+                least = np.full(len(kinds), np.iinfo(np.int64).max)
+                np.minimum.at(least, kind, doc)
+                later.append(lo + np.flatnonzero(doc > least[kind]))
+            later = np.concatenate(later)
             s = x["s"][later].astype(np.int64)
             out.append(_rows(REMOVED, *merged_spans(x["doc"][later], x["variant"][later], s, s + window).values()))
         return pd.concat(out, ignore_index=True)
@@ -401,20 +427,25 @@ def without_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = GRAM,
     """
     new = {"n_bytes", "n_removed", "n_spans", "spans", kept_bytes}
     names = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(text_key(), F.lit(65536)).cast("int").alias("variant"),
-                       F.coalesce("text", F.lit("")).alias("text"), F.struct(*[docs[c] for c in names if c != "text"], F.lit(0).alias("_")).alias("_row"),
-                       F.col("text").isNull().alias("_null")).withColumn("_null_id", F.col("doc_id").isNull())
+    row = F.struct(*[docs[c] for c in names if c != "text"], F.lit(0).alias("_")).alias("_row")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().bitwiseAND(65535).cast("int").alias("variant"),
+                       F.coalesce("text", F.lit("")).alias("text"), row)
     named = base.filter("doc_id IS NOT NULL")
+    # without other columns both joins below shuffle the same texts, and Spark does so once
+    texts = named.select("doc_id", "variant", "text")
+    alone = names == ["doc_id"] and docs.schema["doc_id"].dataType == T.LongType()
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(16, -(-total // bucket_bytes))
-    found = materialise(anchor_spans(named, window, gram, n_buckets), "anchor-spans")
+    found = materialise(anchor_spans(texts, window, gram, n_buckets), "anchor-spans")
     pair = F.struct("start", "end")
     still = found.filter(F.col("kind") == OPEN).groupBy("doc_id", "variant").agg(F.collect_list(pair).alias("ranges"))
     proved = found.filter(F.col("kind") == REMOVED)
-    more = window_spans(named.join(still, ["doc_id", "variant"]), window, n_buckets)
+    more = window_spans(texts.join(still, ["doc_id", "variant"]), window, n_buckets)
     spans = proved.unionByName(more).groupBy("doc_id", "variant").agg(F.array_sort(F.collect_list(pair)).alias("spans"))
-    joined_ = named.join(spans, ["doc_id", "variant"], "left").unionByName(
-        base.filter("doc_id IS NULL").withColumn("spans", F.lit(None).cast("array<struct<start:bigint,end:bigint>>")))
+    near = texts.join(spans, ["doc_id", "variant"], "left").withColumn("_row", F.struct("doc_id", F.lit(0).alias("_"))) if alone else \
+        named.join(spans, ["doc_id", "variant"], "left")
+    joined_ = near.select("text", "spans", "_row").unionByName(
+        base.filter("doc_id IS NULL").select("text", "_row").withColumn("spans", F.lit(None).cast("array<struct<start:bigint,end:bigint>>")))
     out = T.StructType([base.schema["_row"], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
                         *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField(kept_bytes, T.BinaryType())])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
