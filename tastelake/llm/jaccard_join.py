@@ -109,7 +109,7 @@ class Block:
 
     def __init__(self, frame: pd.DataFrame):
         self.rep, self.copies = frame["rep"].to_numpy(), frame["copies"].to_numpy()
-        self.sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), -1)
+        self.sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), BANDS * BAND_ROWS)
         self.size = np.array([len(x) // 8 for x in frame["keys"]])
         self.keys = np.frombuffer(b"".join(frame["keys"]), np.uint64)
         self.cuts = np.concatenate([[0], np.cumsum(self.size)])
