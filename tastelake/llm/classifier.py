@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tastelake.llm.textblocks import ALNUM, LOWER, SPACED, Powers, arrow_rows, blocks, mixed, spans
 
 BITS = 20
-#: A bucket has a weight if it is in LEAST_ROWS rated texts or more, and the mean grade of these is LEAST_Z standard
-#: errors or more from that of all; other weights are zero, so words that only a few texts have add no noise.
+#: A bucket has a weight if it is in LEAST_ROWS rated texts or more, and the share of these above some grade is LEAST_Z
+#: standard errors or more from that of all; other weights are zero, so words that only a few texts have add no noise.
 LEAST_ROWS, LEAST_Z = 5, 4.0
 #: Most labelled rows the model is fitted on, those with the smallest hashes of doc_id.
 FIT_ROWS = 10_000
@@ -54,8 +54,12 @@ class OrdinalModel:
         bucket = np.concatenate(buckets) if n else np.zeros(0, np.int64)
         rows_with = np.bincount(bucket, minlength=1 << BITS)
         if n:
-            away = np.bincount(bucket, grades[row] - grades.mean(), 1 << BITS)
-            chosen = (rows_with >= LEAST_ROWS) & (np.abs(away) >= LEAST_Z * max(grades.std(), 1e-9) * np.sqrt(np.maximum(rows_with, 1)))
+            tells = np.zeros(1 << BITS, bool)
+            for cut in range(k):
+                above = (grades > cut) - np.mean(grades > cut)
+                away = np.bincount(bucket, above[row], 1 << BITS)
+                tells |= np.abs(away) >= LEAST_Z * max(above.std(), 1e-9) * np.sqrt(np.maximum(rows_with, 1))
+            chosen = tells & (rows_with >= LEAST_ROWS)
             row, bucket = row[chosen[bucket]], bucket[chosen[bucket]]
         share = np.cumsum((np.bincount(grades, minlength=n_grades) + 1) / (n + n_grades))[:-1]
         start = np.log(share / (1 - share))
