@@ -2,6 +2,100 @@
 
 from __future__ import annotations
 
+from tastelake.llm.decontamination import WINDOW
+from tastelake.llm.line_dedup import LONG_LINE, RUN_LINES
+from tastelake.llm.queries import PROBE, RULES
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+bi AS (SELECT item_id, w, least({WINDOW}, len(w)) AS n, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM bi),
+di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) AS l),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM di),
+hit AS (SELECT DISTINCT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+places AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit),
+words AS (SELECT doc_id, count(*) AS h FROM places GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS c, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hit) AS x GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(h, 0) AS n_hit, coalesce(c, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(h, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
+
+OP3 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM t),
+s AS (SELECT *, length(text) + length(text) - length(replace(text, chr(92), '')) + length(text) - length(replace(text, '<', '')) AS size,
+  length(role) + length(role) - length(replace(replace(replace(role, chr(92), ''), '<', ''), chr(10), '')) AS role_size FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY rn), '')) AS loss_sha256,
+  CAST(8 + sum(size + CASE WHEN before = role THEN 6 ELSE 7 + role_size + CASE WHEN before IS NULL THEN 0 ELSE 8 END END) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id"""
+
+_FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v)
+         for h, p, v in sorted(RULES, key=lambda r: -len(r[0]) - len(r[1]))]
+
+
+def _level(name: str, key: str, parent: str, parent_key: str) -> str:
+    return f"""
+{name}_m AS (SELECT c.*, p.mean AS m FROM {name} AS c LEFT JOIN {parent} AS p ON c.{parent_key} = p.{parent_key}),
+{name}_t AS (SELECT sum(round(n * (good / n - m) * (good / n - m), 9)) AS q, sum(round(m * (1 - m), 9)) AS b,
+  sum(round(m * (1 - m) * (n - 1), 9)) AS r FROM {name}_m),
+{name}_r AS (SELECT CASE WHEN r > 0 THEN (q - b) / r ELSE 0 END AS rho FROM {name}_t),
+{name}_s AS (SELECT CASE WHEN rho <= 1.0::DOUBLE / 1001 THEN 1000 WHEN rho >= 0.5 THEN 1 ELSE 1 / rho - 1 END AS s FROM {name}_r),
+{name}_p AS (SELECT x.*, s * m + good AS a, s * (1 - m) + n - good AS b, (s * m + good) / (s + n) AS mean FROM {name}_m AS x, {name}_s)"""
+
+
+def _bound(a: str, b: str) -> str:
+    return f"{a} / ({a} + {b}) + 1.645 * sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1)))"
+
+
+OP8 = f"""
+WITH p AS (SELECT page_id, url,
+  translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+hosts AS (SELECT host, regexp_extract(host, '[^.]*([.][^.]*)?$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(*)::DOUBLE AS n,
+  sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS good
+  FROM p JOIN labels ON p.page_id = labels.doc_id WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain, suffix),
+ends AS (SELECT suffix, 'all' AS whole, sum(n) AS n, sum(good) AS good FROM domains GROUP BY suffix),
+top AS (SELECT 'all' AS whole, (sum(good) + 1) / (sum(n) + 2) AS mean FROM ends),
+{_level("ends", "suffix", "top", "whole")},
+{_level("domains", "domain", "ends_p", "suffix")},
+{_level("hosts", "host", "domains_p", "domain")},
+by_host AS (SELECT host, {_bound("a", "b")} AS bound FROM hosts_p),
+sum_d AS (SELECT domain, sum(good) + 1 AS a, sum(n) - sum(good) + 1 AS b FROM hosts GROUP BY domain),
+sum_s AS (SELECT suffix, sum(good) + 1 AS a, sum(n) - sum(good) + 1 AS b FROM hosts GROUP BY suffix),
+judged AS (SELECT p.*, coalesce(by_host.bound, {_bound("sum_d.a", "sum_d.b")}, {_bound("sum_s.a", "sum_s.b")}) AS bound FROM p
+  LEFT JOIN by_host ON p.host = by_host.host
+  LEFT JOIN sum_d ON regexp_extract(p.host, '[^.]*([.][^.]*)?$') = sum_d.domain
+  LEFT JOIN sum_s ON regexp_extract(p.host, '[^.]*$') = sum_s.suffix)
+SELECT page_id, url, host, path, CASE {" ".join(f"WHEN {fits} THEN '{text}'" for fits, text, _ in _FITS)} END AS rule,
+  CASE {" ".join(f"WHEN {fits} THEN '{verdict}'" for fits, _, verdict in _FITS)} WHEN round(bound, 9) < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM judged"""
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+li AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+nb AS (SELECT doc_id, i, l[i] AS line FROM li WHERE trim(l[i]) <> ''),
+{"".join(f'''
+s{k} AS (SELECT doc_id, i, line, lead(line, {k}) OVER w AS other, lead(i, {k}) OVER w AS at FROM nb WINDOW w AS (PARTITION BY doc_id ORDER BY i)),''' for k in range(1, RUN_LINES))}
+many AS (SELECT s1.doc_id, s1.i AS a, s{RUN_LINES - 1}.at AS b, {RUN_LINES} AS n, s1.line || {" || ".join(f"chr(10) || s{k}.other" for k in range(1, RUN_LINES))} AS txt
+  FROM s1 {" ".join(f"JOIN s{k} ON s1.doc_id = s{k}.doc_id AND s1.i = s{k}.i" for k in range(2, RUN_LINES))} WHERE s{RUN_LINES - 1}.at IS NOT NULL),
+win AS (SELECT * FROM many UNION ALL SELECT doc_id, i, i, 1, line FROM nb WHERE length(line) >= {LONG_LINE}),
+seen AS (SELECT *, row_number() OVER (PARTITION BY n, txt ORDER BY doc_id, a) AS turn FROM win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM seen WHERE turn > 1),
+runs AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone),
+per AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN before = i - 1 THEN 0 ELSE 1 END) AS r FROM runs GROUP BY doc_id),
+kept AS (SELECT li.doc_id, string_agg(l[li.i], chr(10) ORDER BY li.i) AS text FROM li LEFT JOIN gone ON li.doc_id = gone.doc_id AND li.i = gone.i
+  WHERE gone.i IS NULL GROUP BY li.doc_id)
+SELECT d.doc_id, len(l) AS n_lines, coalesce(n, 0) AS n_deleted, CAST(coalesce(r, 0) AS BIGINT) AS n_runs, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
 
 def sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": OP1, "op3_chat_formatting": OP3, "op8_url_filter": OP8, "op9_line_dedup": OP9}

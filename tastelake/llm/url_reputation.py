@@ -93,8 +93,8 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], suffixe
     :param threshold: a host without rule is blocked if even the upper posterior bound of its share of good pages,
         mean + z standard deviations, is below.
 
-    A host without labelled page gets the mean and bound of its domain's, else its suffix's pages as they stand in the
-    table of hosts, else it is allowed: nothing speaks against it. A null url, or one without ``://``, has an empty
+    A host without labelled page is judged by the labelled pages of its domain, else of its suffix, else it is allowed:
+    nothing speaks against it. A null url, or one without ``://``, has an empty
     host and path and is judged by the reputation of the empty host. Repeated rows stay, judged alike.
     """
     new = {"host", "path", "rule", "verdict", "bound"}
@@ -112,10 +112,13 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], suffixe
         return sums.select(key, bound(F.col("a"), F.col("b")).alias(name))
 
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    out = (base.withColumns({"_domain": domain_of(F.col("host"), suffixes), "_suffix": suffix_of(F.col("host"), suffixes)})
-           .join(by_host, "host", "left")
-           .join(pooled("domain", "_d").withColumnRenamed("domain", "_domain"), "_domain", "left")
-           .join(pooled("suffix", "_s").withColumnRenamed("suffix", "_suffix"), "_suffix", "left"))
-    upper = F.coalesce("_h", "_d", "_s")
+    # every host once, so the pages themselves are joined by host alone
+    hosts = (base.select("host").distinct().withColumns({"_domain": domain_of(F.col("host"), suffixes), "_suffix": suffix_of(F.col("host"), suffixes)})
+             .join(by_host, "host", "left")
+             .join(pooled("domain", "_d").withColumnRenamed("domain", "_domain"), "_domain", "left")
+             .join(pooled("suffix", "_s").withColumnRenamed("suffix", "_suffix"), "_suffix", "left")
+             .select("host", F.coalesce("_h", "_d", "_s").alias("bound")))
+    out = base.join(materialise(hosts, "host-bounds"), "host", "left")
+    upper = F.col("bound")
     method = F.when(F.round(upper, 9) < threshold, "block").otherwise("allow")
     return out.select(*base.columns, rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), upper.alias("bound"))
