@@ -5,11 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from tastelake.plans import oracle as own_sql, queries as own
 from tests.compare import compare, oracle_connection
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data absent")
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = own.registry(), own_sql.sql()
 ROWS_ONLY = {"svd_topn", "svd_rmse", "recommend_topk", "feature_importance"}
 
 
@@ -18,6 +19,10 @@ def oracle():
     return oracle_connection(SF_DIR)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_only_models_lack_sql():
     assert set(QUERIES) - set(SQL) == ROWS_ONLY and set(SQL) <= set(QUERIES)
 
