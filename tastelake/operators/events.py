@@ -81,6 +81,6 @@ def outcome_counts(outcomes: DataFrame, ts: str = "ts", width: str = "1 minute")
         F.unix_seconds("w.start").alias("window_start"), "status", "n")
 
 
-def outcome_status(valid: Column, broker_up: Column) -> Column:
-    """What becomes of a received event."""
-    return F.when(~valid, "failed").when(broker_up, "published").otherwise("logged")
+def outcome_status(broker_up: Column, accepted: Column) -> Column:
+    """What becomes of a valid event: logged without a broker, else published, or failed if the broker refused it."""
+    return F.when(~broker_up, "logged").when(accepted, "published").otherwise("failed")

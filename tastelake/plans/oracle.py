@@ -17,7 +17,7 @@ movies AS (
 EVENTS = """
 rating_events AS (
   SELECT event_id, event_type, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS movie_id,
-         least(value / 20, 6.0) AS rating, CAST(floor(epoch(ts)) AS BIGINT) AS "timestamp"
+         value / 20 AS rating, CAST(floor(epoch(ts)) AS BIGINT) AS "timestamp", ts
   FROM events)"""
 
 CHECKED = EVENTS + """,
@@ -28,6 +28,8 @@ checked AS (
     CASE WHEN rating >= 0.5 AND rating <= 5.0 THEN NULL ELSE 'rating' END) AS reasons
   FROM rating_events)"""
 
+VALID = f"(WITH {CHECKED} SELECT user_id, rating, ts FROM checked WHERE reasons = '')"
+
 LOG = """
 request_log AS (
   SELECT event_type AS endpoint, CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS status,
@@ -153,7 +155,7 @@ def _windows(relation: str, width: int, slide: int) -> str:
     return f"""
   SELECT (e // {slide} - k) * {slide} AS window_start, user_id, count(rating) AS rating_count,
          round(avg(rating), 10) AS avg_rating, round(coalesce(stddev_samp(rating), 0.0), 10) AS rating_stddev
-  FROM (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS e, user_id, least(value / 20, 6.0) AS rating, unnest(range({n})) AS k
+  FROM (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS e, user_id, rating, unnest(range({n})) AS k
         FROM {relation}) GROUP BY ALL"""
 
 
@@ -307,8 +309,8 @@ SELECT {plain} FROM ratings ORDER BY {order} LIMIT {HEAD_EVENTS}"""
     q["stream_replay"] = f"""WITH {RATINGS} SELECT 'rating' AS event_type, {plain}, {datetime} AS "datetime" FROM ratings"""
     q["ingest_outcomes"] = f"""WITH {CHECKED}
 SELECT "timestamp" // 3600 * 3600 AS window_start,
-  CASE WHEN reasons <> '' THEN 'failed' WHEN event_type <> 'purchase' THEN 'published' ELSE 'logged' END AS status, count(*) AS n
-FROM checked GROUP BY ALL"""
+  CASE event_type WHEN 'purchase' THEN 'logged' WHEN 'error' THEN 'failed' ELSE 'published' END AS status, count(*) AS n
+FROM checked WHERE reasons = '' GROUP BY ALL"""
 
     q["request_log"] = """SELECT '/' || event_type AS endpoint, CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS status,
   value / 100 AS duration_s, epoch_us(ts) AS ts_us FROM events WHERE event_type <> 'signup'"""
@@ -338,11 +340,11 @@ FROM t JOIN ratings r ON r.user_id = t.user_id AND r.ts BETWEEN t.ts - 7 * 86400
   SELECT user_id, rating, unnest(string_split(genres, '|')) AS genre FROM ratings JOIN movies USING (movie_id))
 SELECT user_id, genre, count(*) AS rating_count, round(avg(rating), 6) AS avg_rating,
   round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS share FROM t GROUP BY user_id, genre"""
-    q["windowed_user_stats"] = _windows("events", 86400, 86400)
-    q["weekly_user_windows"] = _windows("events", 7 * 86400, 86400)
-    q["stream_windowed_stats"] = f"""SELECT * FROM ({_windows("events", 86400, 86400)})
-WHERE window_start + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM events)"""
-    q["stream_running_totals"] = """SELECT user_id, count(*) AS rating_count, round(avg(r), 10) AS avg_rating,
+    q["windowed_user_stats"] = _windows(VALID, 86400, 86400)
+    q["weekly_user_windows"] = _windows(VALID, 7 * 86400, 86400)
+    q["stream_windowed_stats"] = f"""SELECT * FROM ({_windows(VALID, 86400, 86400)})
+WHERE window_start + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM {VALID})"""
+    q["stream_running_totals"] = f"""SELECT user_id, count(*) AS rating_count, round(avg(r), 10) AS avg_rating,
   round(coalesce(stddev_samp(r), 0.0), 10) AS rating_stddev, max(epoch_us(ts)) AS event_timestamp
-FROM (SELECT user_id, least(value / 20, 6.0) AS r, ts FROM events) GROUP BY user_id"""
+FROM (SELECT user_id, rating AS r, ts FROM {VALID}) GROUP BY user_id"""
     return q

@@ -21,7 +21,7 @@ _REGISTRY: dict[str, Query] = {}
 AS_OF = 1_700_000_000
 SNAPSHOT_FROM = 915_148_800   # 1999-01-01: online history starts here in the lookup queries
 HEAD_EVENTS = 1_000
-SVD_FACTORS = 20
+SVD_FACTORS = 50
 RANKER_ROUNDS = 10
 
 
@@ -438,7 +438,7 @@ def replay_schedule(spark, sf_dir):
 
 @query
 def replay_realtime(spark, sf_dir):
-    return chronology.replay_schedule(_plain_ratings(spark, sf_dir), "realtime")
+    return chronology.replay_schedule(_plain_ratings(spark, sf_dir), None)
 
 
 @query
@@ -457,9 +457,9 @@ def stream_replay(spark, sf_dir):
 
 @query
 def ingest_outcomes(spark, sf_dir):
-    """Outcome per hour; purchases stand for the time the broker was away."""
-    e = events.with_reasons(views.rating_events(spark, sf_dir))
-    status = events.outcome_status(F.size("reasons") == 0, F.col("event_type") != "purchase")
+    """Outcome of valid events per hour; purchases stand for the time the broker was away, errors for sends it refused."""
+    e = events.with_reasons(views.rating_events(spark, sf_dir)).filter(F.size("reasons") == 0)
+    status = events.outcome_status(F.col("event_type") != "purchase", F.col("event_type") != "error")
     return events.outcome_counts(e.select(F.timestamp_seconds("timestamp").alias("ts"), status.alias("status")), width="1 hour")
 
 
@@ -521,8 +521,9 @@ def genre_affinity(spark, sf_dir):
 
 
 def _timed_events(df: DataFrame) -> DataFrame:
-    return df.select(F.timestamp_micros(epoch_micros("ts")).alias("ts"), "user_id",
-                     F.least(F.col("value") / 20, F.lit(6.0)).alias("rating"))
+    """Valid ratings with their times."""
+    found = events.valid_events(views.as_rating_events(df).withColumn("ts", epoch_micros("ts")))
+    return found.select(F.timestamp_micros("ts").alias("ts"), "user_id", "rating")
 
 
 @query
@@ -553,7 +554,6 @@ def stream_windowed_stats(spark, sf_dir):
 @query
 def stream_running_totals(spark, sf_dir):
     path = new_path(spark, "totals")
-    stream = _event_stream(spark, sf_dir).select(
-        "user_id", F.least(F.col("value") / 20, F.lit(6.0)).alias("rating"), epoch_micros("ts").alias("timestamp"))
+    stream = _timed_events(_event_stream(spark, sf_dir)).select("user_id", "rating", F.unix_micros("ts").alias("timestamp"))
     stream_rolling.running_totals(stream, "user_id", path).awaitTermination()
     return _rounded(stream_rolling.online_table(spark, path, "user_id"), "avg_rating", "rating_stddev", digits=10)

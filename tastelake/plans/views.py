@@ -24,8 +24,11 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return p.select(
+    return _as_movies(table(spark, sf_dir, "part"))
+
+
+def _as_movies(part: DataFrame) -> DataFrame:
+    return part.select(
         (F.col("p_partkey") + 1).alias("movie_id"),
         F.col("p_name").alias("title"),
         F.replace(F.concat_ws(" ", "p_type", "p_name"), F.lit(" "), F.lit("|")).alias("genres"))
@@ -33,8 +36,7 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogued_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A metadata table that misses some rated movies, so the no-match paths carry rows."""
-    p = table(spark, sf_dir, "part").filter("p_size > 5").select((F.col("p_partkey") + 1).alias("movie_id"))
-    return movies(spark, sf_dir).join(p, "movie_id", "left_semi")
+    return _as_movies(table(spark, sf_dir, "part").filter("p_size > 5"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +45,15 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rating_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rating events, valid and invalid ones alike."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return as_rating_events(table(spark, sf_dir, "events")).drop("ts")
+
+
+def as_rating_events(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id", "event_type", "user_id",
         F.get_json_object("props", "$.k").cast("long").alias("movie_id"),
-        F.least(F.col("value") / 20, F.lit(6.0)).alias("rating"),
-        epoch_seconds("ts").alias("timestamp"))
+        (F.col("value") / 20).alias("rating"),
+        epoch_seconds("ts").alias("timestamp"), "ts")
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:

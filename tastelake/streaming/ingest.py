@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,11 +28,12 @@ def read_topic(spark: SparkSession, servers: str, topic: str = sinks.TOPIC) -> D
 
 def batch_writer(root: str, now: Column | None = None, primary=None):
     """foreachBatch function. Each batch owns one folder per output and overwrites it, so a batch that
-    is replayed after a failure leaves its rows once."""
+    is replayed after a failure leaves its rows once. Rejected events are in quarantine and have no outcome."""
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = events.parse_events(batch).persist()
+        clock = F.lit(int(time.time())) if now is None else now  # one default time for all outputs of the batch
         try:
-            good = events.valid_events(parsed, now)
+            good = events.valid_events(parsed, clock)
             bad = events.quarantined_events(parsed)
             good.drop("value").write.mode("overwrite").parquet(f"{root}/valid/batch_id={batch_id}")
             bad.write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
@@ -38,9 +41,7 @@ def batch_writer(root: str, now: Column | None = None, primary=None):
             if primary is not None:
                 lines = good.select(F.to_json(events.event_struct()).alias("value"))
                 status = sinks.publish(lines, primary, f"{root}/logged/batch_id={batch_id}")
-            outcome = good.select(F.lit(status).alias("status"), "timestamp").unionByName(
-                bad.select(F.lit("failed").alias("status"), "timestamp"))
-            outcome.write.mode("overwrite").parquet(f"{root}/outcomes/batch_id={batch_id}")
+            good.select(F.lit(status).alias("status"), "timestamp").write.mode("overwrite").parquet(f"{root}/outcomes/batch_id={batch_id}")
         finally:
             parsed.unpersist()
 

@@ -10,7 +10,7 @@ from tastelake.sources.events import write_lines
 from tastelake.streaming.ingest import read_lines
 
 
-def write_replay(ratings: DataFrame, path: str, *, rate: str | float = 10, max_events: int | None = None,
+def write_replay(ratings: DataFrame, path: str, *, rate: float | None = 10, max_events: int | None = None,
                  chunks: int = 10) -> int:
     """Write the events in ``chunks`` consecutive appends of equal size, oldest first; a folder stream
     picks them up in that order. Returns the number of events. Pacing is the column ``emit_offset_s``

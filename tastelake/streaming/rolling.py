@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tastelake.operators import lookup, rolling
 from tastelake.session import new_path
 
+PROGRESS_KEPT = 1_000_000
+
 
 def windowed_stream(events: DataFrame, key: str, width: str = "1 hour", slide: str | None = None,
                     lateness: str = rolling.LATENESS, ts: str = "ts") -> DataFrame:
@@ -25,9 +27,15 @@ def drain_windows(stats: DataFrame) -> tuple[DataFrame, int]:
     """Run to the end of the input: the closed windows, and how many rows came too late."""
     spark = stats.sparkSession
     path = new_path(spark, "windows")
-    query = append_closed_windows(stats, path)
-    query.awaitTermination()
-    return spark.read.schema(stats.schema).parquet(path), late_rows(query)
+    conf, key = spark.conf, "spark.sql.streaming.numRecentProgressUpdates"
+    before = conf.get(key)
+    conf.set(key, str(PROGRESS_KEPT))  # the late rows of all batches count, not those of the last hundred
+    try:
+        query = append_closed_windows(stats, path)
+        query.awaitTermination()
+        return spark.read.schema(stats.schema).parquet(path), late_rows(query)
+    finally:
+        conf.set(key, before)
 
 
 def late_rows(query: StreamingQuery) -> int:

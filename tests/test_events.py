@@ -66,6 +66,6 @@ def test_time_text_does_not_depend_on_the_session_zone(spark, zone):
 
 
 def test_outcomes(spark):
-    df = spark.createDataFrame([(True, True), (True, False), (False, True)], "valid boolean, up boolean").select(
-        events.outcome_status(F.col("valid"), F.col("up")).alias("status"), F.timestamp_seconds(F.lit(65)).alias("ts"))
+    df = spark.createDataFrame([(True, True), (True, False), (False, True)], "up boolean, taken boolean").select(
+        events.outcome_status(F.col("up"), F.col("taken")).alias("status"), F.timestamp_seconds(F.lit(65)).alias("ts"))
     assert rows(events.outcome_counts(df)) == [(60, "failed", 1), (60, "logged", 1), (60, "published", 1)]

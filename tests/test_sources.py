@@ -69,7 +69,14 @@ def test_publish_outcomes(spark, tmp_path):
     assert events.publish(df, lambda d: events.write_lines(d, sent), logged) == "published"
     no_connector = lambda d: events.write_topic(d, "nowhere:1")
     assert events.publish(df, no_connector, logged) == "logged"
-    assert events.publish(df, no_connector, "/proc/none") == "failed"
+    assert events.publish(df, no_connector, logged) == "logged"  # a second try replaces the lines
+
+    def refuses(lines):
+        raise events.SendRefused
+
+    assert events.publish(df, refuses, logged) == "failed"
+    with pytest.raises(KeyError):
+        events.publish(df, lambda d: {}["a bug"], logged)
     assert spark.read.text(sent).count() == spark.read.text(logged).count() == 1
 
 
@@ -91,6 +98,6 @@ def test_training_job(spark, movies, tmp_path):
     complete = spark.read.parquet(f"{root}/training_data").dropna().count()
     assert result["n_train_rows"] == int(complete * 0.8) and result["n_train_rows"] + result["n_val_rows"] == complete
     kinds = dict(runs.read_runs(spark, f"{root}/runs").groupBy("kind").count().collect())
-    assert kinds == {"param": 8, "metric": 5 + 12, "artifact": 3, "tag": 3}
+    assert kinds == {"param": 14, "metric": 5 + 12, "artifact": 3, "tag": 3}
     assert FactorModel.load(spark, result["svd_model_path"]).n_factors == 3
     assert Ranker.load(spark, result["ranker_model_path"]).feature_names[0] == "user_stats__avg_rating"

@@ -34,15 +34,33 @@ def test_ingest_continues_where_it_stopped(spark, inbox, tmp_path):
     ingest.ingest(ingest.read_lines(spark, folder), out, F.lit(NOW))
     assert rows(spark.read.parquet(f"{out}/valid"), "user_id", "timestamp") == [(1, 100), (2, NOW)]
     assert rows(spark.read.parquet(f"{out}/quarantine"), "user_id") == [(None,), (0,), (3,)]
-    assert rows(spark.read.parquet(f"{out}/outcomes").groupBy("status").count()) == [("failed", 3), ("published", 2)]
+    assert rows(spark.read.parquet(f"{out}/outcomes").groupBy("status").count()) == [("published", 2)]
 
 
 def test_a_replayed_batch_leaves_its_rows_once(spark, tmp_path):
     batch = spark.createDataFrame([(json.dumps(event(1)),)], "value string")
-    write = ingest.batch_writer(str(tmp_path))
+    def away(lines):
+        raise ConnectionError("no broker")
+
+    write = ingest.batch_writer(str(tmp_path), primary=away)
     write(batch, 0)
     write(batch, 0)
-    assert spark.read.parquet(f"{tmp_path}/valid").count() == 1
+    for name in ("valid", "outcomes"):
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == 1
+    assert spark.read.option("recursiveFileLookup", True).text(f"{tmp_path}/logged").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/quarantine").count() == 0
+
+
+def test_one_clock_per_batch(spark, tmp_path):
+    batch = spark.createDataFrame([(json.dumps(event(1, timestamp=None)),)], "value string")
+
+    def away(lines):
+        raise ConnectionError("no broker")
+
+    ingest.batch_writer(str(tmp_path), primary=away)(batch, 0)
+    valid, outcome = (spark.read.parquet(f"{tmp_path}/{n}").first()["timestamp"] for n in ("valid", "outcomes"))
+    line = spark.read.option("recursiveFileLookup", True).text(f"{tmp_path}/logged").first()["value"]
+    assert valid == outcome == json.loads(line)["timestamp"]
 
 
 def test_events_are_logged_while_the_broker_is_away(spark, inbox, tmp_path):
@@ -103,3 +121,23 @@ def test_replay_in_time_order(spark, ratings, tmp_path):
     query.awaitTermination()
     times = [t for batch in seen for t in batch]
     assert times == sorted(times) == [1_000_000 + 100 * i for i in range(7)] and len(seen) >= 3
+
+
+def test_late_rows_of_all_batches_are_counted(spark, inbox):
+    folder, put = inbox
+    import os
+    schema = "user_id long, rating double, ts timestamp"
+    rows_of = [f'{{"user_id": 1, "rating": 3.0, "ts": "2024-01-{d:02d}T00:00:00Z"}}' for d in (20, 1, 2, 3, 21, 4)]
+    for i, line in enumerate(rows_of):
+        path = os.path.join(folder, f"{i}.json")
+        with open(path, "w") as file:
+            file.write(line)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(folder)
+        _, late = stream_rolling.drain_windows(stream_rolling.windowed_stream(source, "user_id", "1 day"))
+        assert spark.conf.get("spark.sql.streaming.numRecentProgressUpdates") == "2"
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert late == 3  # a batch drops what is behind the watermark of the batch before the last
