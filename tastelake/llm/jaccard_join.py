@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tastelake.llm.components import components
 from tastelake.llm.textblocks import ALNUM, LOWER, Powers, blocks, grams, mixed, spans
@@ -21,6 +21,7 @@ BANDS, BAND_ROWS = 32, 5    # a pair at 0.8 shares no band with probability 3e-6
 STEP = 32                   # MinHash values compared between two looks at the posterior
 TOLERANCE = 1e-6            # a pair is dropped when the threshold is less likely than this
 BLOCK_ROWS, BLOCK_SHINGLES = 500, 500_000
+FILTER_WORDS = 1 << 20      # 64-bit words of the bitmap that keeps texts of no candidate out of the shuffle
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +190,24 @@ def _verify(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Dat
         yield solve(pd.concat(held))
 
 
+def _place(doc_id: str, key: str) -> tuple[Column, Column]:
+    """Word and bit of a document in the bitmap."""
+    h = F.xxhash64(doc_id, key)
+    return F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _likely(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``base`` whose bit is set by a row of ``wanted`` (vertex, key); others may pass, none is lost.
+
+    The bitmap has at most FILTER_WORDS rows whatever the input, so it is broadcast.
+    """
+    word, bit = _place("vertex", "key")
+    bitmap = wanted.select(word.alias("_w"), bit.alias("_bit")).groupBy("_w").agg(F.bit_or("_bit").alias("_bits"))
+    word, bit = _place("doc_id", "key")
+    held = base.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bitmap), F.col("_word") == F.col("_w"))
+    return held.filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*base.columns)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, key, class_id, n_links: one row per document.
 
@@ -217,7 +236,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block_rows: i
     chosen = materialise(near.join(sets.select(F.col("rep").alias("vertex"), "key", "n", "copies"), "vertex"), "candidates")
     blocks_of = chosen.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
     wanted = chosen.join(blocks_of, "root").select("root", "n_blocks", F.col("vertex").alias("rep"), "copies", F.col("key").alias("_k"))
-    texts = base.join(wanted, (base["doc_id"] == F.col("rep")) & (base["key"] == F.col("_k"))).dropDuplicates(["rep", "_k"])
+    texts = _likely(base, chosen).join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("_k"))).dropDuplicates(["rep", "_k"])
     vectors = texts.select("root", "n_blocks", "rep", "copies", "text").mapInArrow(
         _sets, "root long, n_blocks int, rep long, copies long, keys binary, sig binary")
     placed = vectors.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
