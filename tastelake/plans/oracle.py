@@ -11,7 +11,7 @@ ratings AS (
 MOVIES = """
 movies AS (
   SELECT p_partkey + 1 AS movie_id, p_name AS title,
-         replace(p_type || ' ' || p_name, ' ', '|') AS genres, p_size
+         replace(p_type || ' ' || p_name, ' ', '|') AS genres
   FROM part)"""
 
 EVENTS = """
@@ -44,20 +44,20 @@ def _stats(key: str, source: str = "ratings") -> str:
   FROM {source} GROUP BY {key}"""
 
 
-def _genres(condition: str = "true") -> str:
+def _genres() -> str:
     return f"""
   SELECT user_id, count(DISTINCT genre) AS unique_genres_rated FROM (
     SELECT user_id, unnest(string_split(genres, '|')) AS genre
-    FROM ratings JOIN movies USING (movie_id) WHERE {condition}) GROUP BY user_id"""
+    FROM ratings JOIN movies USING (movie_id)) GROUP BY user_id"""
 
 
 STATS = RATINGS + "," + MOVIES + f""",
 user_stats AS (
   SELECT s.*, coalesce(g.unique_genres_rated, 0) AS unique_genres_rated
-  FROM ({_stats('user_id')}) s LEFT JOIN ({_genres('p_size > 5')}) g USING (user_id)),
+  FROM ({_stats('user_id')}) s LEFT JOIN ({_genres()}) g USING (user_id)),
 movie_stats AS (
   SELECT s.*, coalesce(m.genres, '(no genres listed)') AS genres
-  FROM ({_stats('movie_id')}) s LEFT JOIN (SELECT * FROM movies WHERE p_size > 5) m USING (movie_id))"""
+  FROM ({_stats('movie_id')}) s LEFT JOIN movies m USING (movie_id))"""
 
 _MONTH = "date_trunc('month', to_timestamp(ts) AT TIME ZONE 'UTC')"
 
@@ -279,7 +279,7 @@ SELECT user_id, movie_id, {", ".join(f"round({c}, 6) AS {c}" for c in floats)},
     q["rank_topk_linear"] = f"""WITH {SERVING}
 SELECT r.user_id, r.movie_id, r."rank", coalesce(m.title, 'Movie ' || r.movie_id) AS title, coalesce(m.genres, '') AS genres,
   CAST(round(CAST(r.score AS DECIMAL(18, 9)), 4) AS DOUBLE) AS score
-FROM ranked r LEFT JOIN (SELECT * FROM movies WHERE p_size > 5) m USING (movie_id) WHERE r."rank" <= 10"""
+FROM ranked r LEFT JOIN movies m USING (movie_id) WHERE r."rank" <= 10"""
     q["ranker_metrics"] = f"""WITH {SERVING}
 SELECT round(sqrt(avg((score - rating) ** 2)), 6) AS rmse, round(avg(abs(score - rating)), 6) AS mae
 FROM linear JOIN rating_events USING (user_id, movie_id)"""
@@ -290,6 +290,10 @@ SELECT {_le_text()}, cum, "count", CAST("sum" AS BIGINT) AS "sum" FROM h"""
 
     q["valid_requests"] = """SELECT event_id, user_id, top_k, user_id >= 1 AND top_k BETWEEN 1 AND 100 AS valid FROM (
   SELECT event_id, user_id, CASE WHEN event_type = 'view' THEN 10 ELSE CAST(floor(value) AS INTEGER) END AS top_k FROM events)"""
+    q["recommend_requests"] = f"""WITH {SERVING},
+asked AS (SELECT * FROM ({q["valid_requests"]}) WHERE valid)
+SELECT a.event_id, a.user_id, a.top_k, count(r."rank") AS n_results, coalesce(string_agg(CAST(r.movie_id AS VARCHAR), ',' ORDER BY r."rank"), '') AS movie_ids
+FROM asked a LEFT JOIN ranked r ON r.user_id = a.user_id AND r."rank" <= a.top_k GROUP BY ALL"""
     q["valid_events"] = f"""WITH {CHECKED}
 SELECT event_id, user_id, movie_id, rating, "timestamp" FROM checked WHERE reasons = ''"""
     q["quarantined_events"] = f"WITH {CHECKED} SELECT event_id, reasons FROM checked WHERE reasons <> ''"

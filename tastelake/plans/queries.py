@@ -46,13 +46,13 @@ def _plain_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def user_stats(spark, sf_dir):
-    df = features.user_stats(views.ratings(spark, sf_dir), views.catalogued_movies(spark, sf_dir))
+    df = features.user_stats(views.ratings(spark, sf_dir), views.movies(spark, sf_dir))
     return _rounded(df, "avg_rating", "rating_stddev")
 
 
 @query
 def movie_stats(spark, sf_dir):
-    df = features.movie_stats(views.ratings(spark, sf_dir), views.catalogued_movies(spark, sf_dir))
+    df = features.movie_stats(views.ratings(spark, sf_dir), views.movies(spark, sf_dir))
     return _rounded(df, "avg_rating", "rating_stddev")
 
 
@@ -92,7 +92,7 @@ def feature_tables(spark, sf_dir):
     """The generated tables as read back from Parquet, one row per table and key."""
     root = new_path(spark, "features")
     feature_generation.generate_features(
-        views.ratings(spark, sf_dir), views.catalogued_movies(spark, sf_dir), root, F.timestamp_seconds(F.lit(AS_OF)))
+        views.ratings(spark, sf_dir), views.movies(spark, sf_dir), root, F.timestamp_seconds(F.lit(AS_OF)))
     out = None
     for view, key in ((catalog.USER_STATS, "user_id"), (catalog.MOVIE_STATS, "movie_id")):
         df = tables.read_features(spark, root, view)
@@ -317,7 +317,7 @@ def _event_candidates(spark, sf_dir) -> DataFrame:
 
 
 def _serving(spark, sf_dir) -> DataFrame:
-    r, m = views.ratings(spark, sf_dir), views.catalogued_movies(spark, sf_dir)
+    r, m = views.ratings(spark, sf_dir), views.movies(spark, sf_dir)
     stats = [materialise(df, "stats") for df in (features.user_stats(r, m), features.movie_stats(r, m))]
     return recommend.candidate_features(_event_candidates(spark, sf_dir), *stats)
 
@@ -337,7 +337,7 @@ def _linear(spark, sf_dir) -> DataFrame:
 def rank_topk_linear(spark, sf_dir):
     """Top 10 by a linear score, decorated with the metadata that is catalogued."""
     ranked = ranking.rank_top_k(_linear(spark, sf_dir), 10)
-    return recommend.decorated(ranked, views.catalogued_movies(spark, sf_dir))
+    return recommend.decorated(ranked, views.movies(spark, sf_dir))
 
 
 @query
@@ -377,12 +377,24 @@ def feature_importance(spark, sf_dir):
     return ranking.top_importances(spark, ranker.importance("gain"))
 
 
+def _requests(spark, sf_dir) -> DataFrame:
+    return views.table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.when(F.col("event_type") != "view", F.floor("value")).cast("int").alias("top_k"))
+
+
 @query
 def valid_requests(spark, sf_dir):
     """Events as requests: the value is the wanted list length, missing for views."""
-    e = views.table(spark, sf_dir, "events").select(
-        "event_id", "user_id", F.when(F.col("event_type") != "view", F.floor("value")).cast("int").alias("top_k"))
-    return recommend.with_request_check(e)
+    return recommend.with_request_check(_requests(spark, sf_dir))
+
+
+@query
+def recommend_requests(spark, sf_dir):
+    """One answer per valid request from the lists by the linear score; users ask more than once."""
+    lists = recommend.decorated(ranking.rank_top_k(_linear(spark, sf_dir), ranking.MAX_TOP_K), views.movies(spark, sf_dir))
+    done = recommend.answers(_requests(spark, sf_dir), lists)
+    ids = F.transform("recommendations", lambda r: r["movie_id"].cast("string"))
+    return done.select("event_id", "user_id", "top_k", F.size("recommendations").alias("n_results"), F.array_join(ids, ",").alias("movie_ids"))
 
 
 # events -------------------------------------------------------------------------------------

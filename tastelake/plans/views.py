@@ -24,21 +24,12 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_movies(table(spark, sf_dir, "part"))
-
-
-def _as_movies(part: DataFrame) -> DataFrame:
-    return part.select(
+    return table(spark, sf_dir, "part").select(
         (F.col("p_partkey") + 1).alias("movie_id"),
         F.col("p_name").alias("title"),
         F.replace(F.concat_ws(" ", "p_type", "p_name"), F.lit(" "), F.lit("|")).alias("genres"))
 
 
-def catalogued_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A metadata table that misses some rated movies, so the no-match paths carry rows."""
-    return _as_movies(table(spark, sf_dir, "part").filter("p_size > 5"))
-
-
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("user_id"))
 
