@@ -294,6 +294,9 @@ SELECT {_le_text()}, cum, "count", CAST("sum" AS BIGINT) AS "sum" FROM h"""
 asked AS (SELECT * FROM ({q["valid_requests"]}) WHERE valid)
 SELECT a.event_id, a.user_id, a.top_k, count(r."rank") AS n_results, coalesce(string_agg(CAST(r.movie_id AS VARCHAR), ',' ORDER BY r."rank"), '') AS movie_ids
 FROM asked a LEFT JOIN ranked r ON r.user_id = a.user_id AND r."rank" <= a.top_k GROUP BY ALL"""
+    q["lookup_after_two_snapshots"] = f"""WITH {STATS}
+SELECT user_id, round(CAST(CAST(avg_rating AS FLOAT) AS DOUBLE), 4) AS avg_rating, rating_count, {AS_OF}::BIGINT AS event_time
+FROM user_stats WHERE user_id IN (SELECT c_custkey + 1 FROM customer)"""
     q["valid_events"] = f"""WITH {CHECKED}
 SELECT event_id, user_id, movie_id, rating, "timestamp" FROM checked WHERE reasons = ''"""
     q["quarantined_events"] = f"WITH {CHECKED} SELECT event_id, reasons FROM checked WHERE reasons <> ''"

@@ -106,6 +106,18 @@ def feature_tables(spark, sf_dir):
     return out
 
 
+@query
+def lookup_after_two_snapshots(spark, sf_dir):
+    """One row per customer from the newest of two snapshots."""
+    root = new_path(spark, "snapshots")
+    r, m = _plain_ratings(spark, sf_dir), views.movies(spark, sf_dir)
+    for as_of in (AS_OF - 86_400, AS_OF):
+        feature_generation.generate_features(r, m, root, F.timestamp_seconds(F.lit(as_of)))
+    found = lookup.batch_lookup(tables.read_features(spark, root, catalog.USER_STATS), views.users(spark, sf_dir), "user_id")
+    return found.select("user_id", F.round(F.col("avg_rating").cast("double"), 4).alias("avg_rating"),
+                        F.col("rating_count").cast("long").alias("rating_count"), F.unix_seconds("event_timestamp").alias("event_time"))
+
+
 @query
 def prereq_report(spark, sf_dir):
     r, m = views.ratings(spark, sf_dir), views.movies(spark, sf_dir)
@@ -394,7 +406,7 @@ def recommend_requests(spark, sf_dir):
     lists = recommend.decorated(ranking.rank_top_k(_linear(spark, sf_dir), ranking.MAX_TOP_K), views.movies(spark, sf_dir))
     done = recommend.answers(_requests(spark, sf_dir), lists)
     ids = F.transform("recommendations", lambda r: r["movie_id"].cast("string"))
-    return done.select("event_id", "user_id", "top_k", F.size("recommendations").alias("n_results"), F.array_join(ids, ",").alias("movie_ids"))
+    return done.select("event_id", "user_id", "top_k", F.size("recommendations").cast("long").alias("n_results"), F.array_join(ids, ",").alias("movie_ids"))
 
 
 # events -------------------------------------------------------------------------------------

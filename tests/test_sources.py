@@ -29,10 +29,12 @@ def test_feature_tables_keep_earlier_snapshots(spark, ratings, movies, tmp_path)
     for d in (1, 2, 2):
         feature_generation.generate_features(ratings, movies, root, day(d))
     for view, n in ((catalog.USER_STATS, 3), (catalog.MOVIE_STATS, 4), (catalog.INTERACTIONS, 10)):
-        df = tables.read_features(spark, root, view)
+        df = tables.read_features(spark, root, view, all_dates=True)
         assert df.drop("as_of").schema == view.schema
         assert rows(df.groupBy("as_of").count(), "count") == [(n,), (n,)]
-    latest = lookup.latest_per_key(tables.read_features(spark, root, catalog.USER_STATS), ["user_id"])
+        newest = tables.read_features(spark, root, view)
+        assert newest.count() == n and newest.filter("as_of <> '1970-01-03'").count() == 0
+    latest = lookup.latest_per_key(tables.read_features(spark, root, catalog.USER_STATS, all_dates=True), ["user_id"])
     assert latest.count() == 3 and latest.filter("as_of <> '1970-01-03'").count() == 0
     online = spark.read.parquet(tables.write_online(spark, root, catalog.MOVIE_STATS, str(tmp_path / "online")))
     assert online.count() == 4 and rows(online.select(F.unix_seconds("event_timestamp")).distinct()) == [(2 * 86_400 + 5,)]
