@@ -63,6 +63,13 @@ def test_near_duplicates(docs, table, block_rows):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got.collect()} == brute.near_duplicates(docs)
 
 
+@pytest.mark.parametrize("words", [1, 7])
+def test_near_duplicates_with_a_crowded_bitmap(docs, table, monkeypatch, words):
+    monkeypatch.setattr(jaccard_join, "FILTER_WORDS", words)
+    got = jaccard_join.near_duplicates(table)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got.collect()} == brute.near_duplicates(docs)
+
+
 def test_one_of_each(spark, docs, table):
     kept = {d for d, (c, _) in brute.near_duplicates(docs).items() if c == d}
     assert {r["doc_id"] for r in jaccard_join.one_of_each(table).collect()} == kept
