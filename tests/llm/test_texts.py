@@ -78,6 +78,22 @@ def test_quality_keeps_what_is_like_the_trusted(spark):
     assert quality_rules.quality(none.limit(0).select("doc_id", F.lit("").alias("text")), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+def test_quality_counts_all_trusted(spark):
+    docs = spark.range(20_300).select(F.col("id").alias("doc_id"), F.lit("alpha beta").alias("text"))
+    assert quality_rules._counted(quality_rules._target(docs, docs.filter("doc_id < 20200").union(docs.limit(5)).select("doc_id"))).sum() == 3 * 20_200
+    assert quality_rules._counted(docs).sum() == 3 * 20_300
+
+
+def test_quality_threshold_moves_with_the_trusted(spark):
+    rng = random.Random(5)
+    rows = [(i, data.prose(rng, 60)) for i in range(600)]
+    rows += [(1000 + i, " ".join(f"{w}***" if k % 4 == 0 else w for k, w in enumerate(data.prose(rng, 60).split()))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, most in ((8, 60), (60, 60), (500, 0)):  # eight documents cannot tell, and must not drop what is clean
+        kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality(df, spark.range(n).toDF("doc_id")).collect()}
+        assert sum(kept[d] for d in range(600)) >= 585 and sum(kept[d] for d in range(1000, 1060)) <= most
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(8)
     marks = {0: ["vile", "rotten"], 1: ["***", "%%%"], 2: []}
