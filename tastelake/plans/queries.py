@@ -22,7 +22,7 @@ AS_OF = 1_700_000_000
 SNAPSHOT_FROM = 915_148_800   # 1999-01-01: online history starts here in the lookup queries
 HEAD_EVENTS = 1_000
 SVD_FACTORS = 50
-RANKER_ROUNDS = 10
+RANKER_ROUNDS = 200
 
 
 def query(fn: Query) -> Query:
