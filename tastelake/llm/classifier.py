@@ -107,8 +107,9 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, rows: int = FIT_ROWS)
                                                  names=["doc_id", "buckets", "grade"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("buckets", T.BinaryType()), T.StructField("grade", T.IntegerType())])
-    found = texts.select("doc_id", "text", "grade").mapInArrow(hashed, schema).toPandas()
-    found = found.sort_values(["doc_id", "buckets"]).drop_duplicates("doc_id")
+    # one row per document before the driver sees any; repeats combine before the shuffle
+    single = texts.select("doc_id", "text", "grade").mapInArrow(hashed, schema).groupBy("doc_id", "grade").agg(F.min("buckets").alias("buckets"))
+    found = single.toPandas().sort_values("doc_id")
     return OrdinalModel.fit([np.frombuffer(b, np.uint32).astype(np.int64) for b in found.buckets], found.grade.to_numpy(np.int64), n_grades)
 
 

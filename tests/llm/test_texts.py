@@ -120,6 +120,19 @@ def test_classifier_on_held_out_rows(spark):
     assert classifier.score(df.limit(0), model, 2).count() == 0
 
 
+def test_classifier_fit_takes_one_row_per_document(spark, monkeypatch):
+    seen, to_pandas = [], type(spark.range(0)).toPandas
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self: (seen.append(to_pandas(self)), seen[-1])[1])
+    rows = [(1, "a vile text"), (1, "another vile text"), (2, "a good text")]
+    df = spark.createDataFrame(rows + rows[:1] * 50, "doc_id long, text string").repartition(3)
+    grades = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, grade int")
+    many = classifier.fit(df, grades, 2)
+    assert [len(x) for x in seen] == [2]
+    once = min([df.filter(f"doc_id = 2 OR text = '{t}'").dropDuplicates() for t in ("a vile text", "another vile text")],
+               key=lambda one: float(np.abs(classifier.fit(one, grades, 2).weights - many.weights).max()))
+    assert np.allclose(classifier.fit(once, grades, 2).weights, many.weights) and np.allclose(classifier.fit(once, grades, 2).cuts, many.cuts)
+
+
 def _sections(text, tokens, rule):
     """Plain attribution of tokens (bytes) to lines."""
     raw = text.encode()
