@@ -5,6 +5,7 @@ from __future__ import annotations
 from tastelake.llm.decontamination import WINDOW
 from tastelake.llm.line_dedup import LONG_LINE, RUN_LINES
 from tastelake.llm.queries import PROBE, RULES
+from tastelake.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -97,5 +98,35 @@ SELECT d.doc_id, len(l) AS n_lines, coalesce(n, 0) AS n_deleted, CAST(coalesce(r
 FROM d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
 
 
+
+def _assigned(name: str, books: str) -> str:
+    """Nearest entry of every part: the squared distance, then the index decides."""
+    return f"""
+{name} AS (SELECT vec_id, label, p, arg_min(e, far * {ENTRIES} + e) AS e, min(far) AS far, any_value(y) AS y
+  FROM (SELECT parts.*, b.e, list_sum(list_transform(range(1, len(b.y) + 1), lambda i: (parts.y[i] - b.y[i]) * (parts.y[i] - b.y[i]))) AS far
+    FROM parts JOIN {books} AS b ON parts.p = b.p) AS x GROUP BY vec_id, label, p),"""
+
+
+def _replaced(name: str, assigned: str, books: str) -> str:
+    """The floored mean of the parts of each entry."""
+    return f"""
+{name}m AS (SELECT p, e, list(m ORDER BY i) AS y FROM (SELECT p, e, i, CAST(floor(sum(v)::DECIMAL(38, 0) / count(*)) AS BIGINT) AS m
+  FROM (SELECT p, e, unnest(y) AS v, unnest(range(len(y))) AS i FROM {assigned}) AS x GROUP BY p, e, i) AS z GROUP BY p, e),
+{name} AS (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM {books} AS b LEFT JOIN {name}m AS m ON b.p = m.p AND b.e = m.e),"""
+
+
+OP11 = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor({SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+parts AS (SELECT vec_id, label, p, x[p * len(x) // {PARTS} + 1:(p + 1) * len(x) // {PARTS}] AS y FROM v, (SELECT unnest(range({PARTS})) AS p) AS q),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id, y) - 1 AS e, y FROM parts QUALIFY e < {ENTRIES}),
+{"".join(_assigned(f"a{r}", f"b{r}") + _replaced(f"b{r + 1}", f"a{r}", f"b{r}") for r in range(ROUNDS))}
+{_assigned("done", f"b{ROUNDS}")}
+codes AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM done GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM b{ROUNDS}) AS codebooks_sha256
+FROM codes"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op3_chat_formatting": OP3, "op8_url_filter": OP8, "op9_line_dedup": OP9}
+    return {"op1_decontamination": OP1, "op3_chat_formatting": OP3, "op8_url_filter": OP8, "op9_line_dedup": OP9, "op11_vector_codes": OP11}

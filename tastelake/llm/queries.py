@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastelake.llm import (bpe, chat, classifier, decontamination, jaccard_join, line_dedup, quality_rules, suffix_dedup, token_counts,
-                           url_reputation)
+from tastelake.llm import (bpe, chat, classifier, decontamination, html_text, jaccard_join, line_dedup, quality_rules, suffix_dedup, token_counts,
+                           url_reputation, vector_codes, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -115,3 +115,20 @@ def op10_suffix_dedup(spark, sf_dir):
 @query
 def op2_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key")
+
+
+@query
+def op11_vector_codes(spark, sf_dir):
+    done, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return done.withColumn("codebooks_sha256", F.lit(vector_codes.books_digest(books)))
+
+
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    done, model = whitening.whiten(_table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return whitening.by_component(done, model, ["vec_id"]).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op13_html_text(spark, sf_dir):
+    return html_text.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
