@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import sys
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,7 +21,32 @@ _NEVER = 1 << 60
 _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 #: the pre-tokenizer's pattern, on lower-cased text of the characters in _PLAIN (fixed value)
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-z0-9ß-öø-ÿ]+")
-CACHE_WORDS = 400_000
+CACHE_BYTES = 32 << 20   # of each of two generations, all kept words of a codec together
+CACHED_CHARS = 64        # longer pieces are not kept: they hardly come again
+KNOWN_PAIRS = 1 << 17
+_ENTRY = 200             # bytes of a kept word besides its characters and ids, about
+
+
+#: the parts of a tokenizer's JSON that the splitting here stands for (fixed values)
+PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "decoder": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": WORD_END, "fuse_unk": False,
+         "byte_fallback": False, "ignore_merges": False}
+
+
+def check_parts(tokenizer: dict) -> None:
+    """A ValueError unless texts are split, merged and decoded as it is done here; any vocabulary and merges of that kind will do."""
+    model = tokenizer.get("model", {})
+    wrong = [k for k, v in PARTS.items() if tokenizer.get(k) != v] + [f"model.{k}" for k, v in MODEL.items() if model.get(k, v) != v]
+    wrong += ["added_tokens" for t in tokenizer.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")][:1]
+    if wrong:
+        raise ValueError(f"this encoder does not handle the tokenizer's {', '.join(wrong)}")
 
 
 def byte_symbols() -> list[str]:
@@ -41,7 +65,9 @@ class Vocabulary:
     """
 
     def __init__(self, source: str):
-        model = json.loads(source)["model"]
+        parts = json.loads(source)
+        check_parts(parts)
+        model = parts["model"]
         ids = model["vocab"]
         self.library = Tokenizer.from_str(source)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
@@ -62,7 +88,7 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.bytes = dict(enumerate(byte_symbols()))
         self._edges: dict[tuple[int, int], list[int]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
     @staticmethod
@@ -128,11 +154,12 @@ class Vocabulary:
                 before = last[end - n]
                 if before < 0:
                     continue
-                good = known.get((before, token))
+                pair = before << 32 | token
+                good = known.get(pair)
                 if good is None:
-                    if len(known) >= 1_000_000:
+                    if len(known) >= KNOWN_PAIRS:
                         known.clear()
-                    good = known[before, token] = self.fits(before, token)
+                    good = known[pair] = self.fits(before, token)
             if good:
                 last[end], size[end] = token, n
         out, at = [], length
@@ -162,31 +189,34 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Kept(dict):
-    """The newest entries, at least ``limit`` of them; others are made again when asked for."""
+    """The newest entries, of ``limit`` bytes at least and twice as many at most; others are made again when asked for."""
 
     def __init__(self, make, limit: int):
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.size, self.old = make, limit, 0, {}
 
     def __missing__(self, key):
+        if len(key) > CACHED_CHARS:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        self.size += _ENTRY + 4 * len(key) + len(value)
+        if self.size > self.limit:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[key] = value
         return value
 
 
 class Codec:
-    """Encodes and decodes texts; words are kept, as most come again."""
+    """Encodes and decodes texts; short words are kept, as most come again, up to a number of bytes."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, cache_bytes: int = CACHE_BYTES):
         self.vocabulary = v = Vocabulary(source)
         self.names = [v.text.get(i, "") for i in range(max(v.text) + 1)]
-        self.words = _Kept(lambda w: _packed(v.word_ids(w)), CACHE_WORDS // 4)
-        self.plain = _Kept(lambda w: _packed(v.word_ids(v.symbols(w))), CACHE_WORDS)
-        self.chunks = _Kept(self._chunk, CACHE_WORDS // 4)
+        self.words = _Kept(lambda w: _packed(v.word_ids(w)), cache_bytes // 8)
+        self.plain = _Kept(lambda w: _packed(v.word_ids(v.symbols(w))), cache_bytes * 3 // 4)
+        self.chunks = _Kept(self._chunk, cache_bytes // 8)
 
     def _chunk(self, chunk: str) -> bytes:
         out = []
@@ -213,33 +243,32 @@ class Codec:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def worker_codec(source: str) -> Codec:
-    """The codec of this Python worker, with the words it has met; the next tasks of the worker use it again."""
-    kept = sys.modules.setdefault("_tastelake_codecs", type(sys)("_tastelake_codecs")).__dict__
-    if source not in kept:
-        kept[source] = Codec(source)
-    return kept[source]
+def _checked(vocabulary: str) -> str:
+    with open(vocabulary, encoding="utf-8") as file:
+        source = file.read()
+    check_parts(json.loads(source))
+    return source
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens",
            decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``df`` with the ids of every whole text: binary, little-endian unsigned 32-bit.
 
-    :param vocabulary: path of a tokenizer's JSON (BPE with word ends, byte level), read by the driver.
+    :param vocabulary: path of a tokenizer's JSON (BPE with word ends, byte level), read by the driver. A ValueError if its normalizer,
+        pre-tokenizer, decoder or kind of model is another than :data:`PARTS` and :data:`MODEL`.
     :param decoded: name of a column for the text decoded from the ids again; None for none.
     :param keep: columns of ``df`` to return; all if None. New columns replace columns of their name.
 
     A null or empty text has no ids and decodes to the empty text. Repeated rows stay, each encoded alike; an
     empty table gives an empty table. No text is cut, however long.
     """
-    with open(vocabulary, encoding="utf-8") as file:
-        source = file.read()
+    source = _checked(vocabulary)
     new = {n_tokens: T.LongType(), ids: T.BinaryType()} | ({decoded: T.StringType()} if decoded else {})
     names = [c for c in (df.columns if keep is None else keep) if c not in new]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(c, t) for c, t in new.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(source)
+        codec = Codec(source)  # goes with the task, so a worker keeps nothing for the next stage
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for first, end, _, _ in blocks(column):
@@ -254,13 +283,12 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids. Null ids give the empty text."""
-    with open(vocabulary, encoding="utf-8") as file:
-        source = file.read()
+    source = _checked(vocabulary)
     names = [c for c in df.columns if c != decoded]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(source)
+        codec = Codec(source)  # goes with the task, so a worker keeps nothing for the next stage
         for batch in batches:
             texts = [codec.decode(x or b"") for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield arrow_rows(batch, names, 0, batch.num_rows, {decoded: pa.array(texts, pa.string())})

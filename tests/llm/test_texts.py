@@ -1,5 +1,6 @@
 """Encoding, chat format, quality, token counts and URL filter."""
 
+import json
 import random
 import struct
 
@@ -28,6 +29,27 @@ def test_bpe_equals_the_library():
         assert codec.decode(packed) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_keeps_a_bounded_number_of_bytes():
+    codec, rng = bpe.Codec(open(WORD_BPE, encoding="utf-8").read(), cache_bytes=1 << 16), random.Random(3)
+    for _ in range(20):  # whole paragraphs without a blank, and many different words
+        codec.encode("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(4000)))
+        codec.encode(" ".join(f"w{rng.randrange(10 ** 9)}é" for _ in range(500)) + " " + " ".join(str(rng.random()) for _ in range(500)))
+    for kept in (codec.words, codec.plain, codec.chunks):
+        assert sum(len(k) * 4 + len(v) for part in (kept, kept.old) for k, v in part.items()) <= 2 << 16
+        assert all(len(k) <= bpe.CACHED_CHARS for k in kept)
+    assert len(codec.vocabulary._fits) <= bpe.KNOWN_PAIRS
+
+
+def test_bpe_refuses_other_tokenizers(spark, tmp_path):
+    parts = json.load(open(WORD_BPE, encoding="utf-8"))
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": None}, {"decoder": {"type": "BPEDecoder", "suffix": "</w>"}},
+                   {"model": parts["model"] | {"end_of_word_suffix": None}}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(parts | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.encode(spark.range(1).selectExpr("'x' text"), str(path))
+
+
 def test_bpe_tables(spark):
     df = spark.createDataFrame([(1, "Hello  world", 5), (2, None, 6), (3, "", 7), (1, "Hello  world", 5)], "doc_id long, text string, ids int")
     got = bpe.encode(df, WORD_BPE, decoded="decoded").orderBy("doc_id", "n_tokens").collect()
