@@ -21,10 +21,11 @@ HOT_CONTEXTS = 64           # an anchor with more surroundings than this in one
 FLUSH_WINDOWS = 200_000
 SORT_WINDOWS = 4_000        # about as many suffixes are sorted at once
 SEVERAL = 255
+FILTER_WORDS = 1 << 20      # 64-bit words of the bitmap of doc_ids with several texts
 DEPTHS = (4, 9)             # bytes beside an anchor that short hashes cover, besides half the rest of a window
 _WINDOW_BASE = 0xC2B2AE3D27D4EB4F
 
-SPAN = "doc_id long, variant int, kind int, start long, end long"
+SPAN = "doc_id long, variant long, kind int, start long, end long"
 REMOVED, OPEN = 0, 1
 
 
@@ -173,7 +174,7 @@ def open_ranges(x: dict[str, np.ndarray], chosen: np.ndarray, whole: np.ndarray,
 
 
 def _rows(kind: int, doc, variant, start, end) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": doc, "variant": variant.astype(np.int32), "kind": np.full(len(doc), kind, np.int32), "start": start, "end": end})
+    return pd.DataFrame({"doc_id": doc, "variant": variant.astype(np.int64), "kind": np.full(len(doc), kind, np.int32), "start": start, "end": end})
 
 
 def anchor_spans(docs: DataFrame, window: int, gram: int, n_buckets: int) -> DataFrame:
@@ -217,7 +218,7 @@ def anchor_spans(docs: DataFrame, window: int, gram: int, n_buckets: int) -> Dat
         for batch in batches:
             ids, variants = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for i, j, buf, offsets in blocks(batch.column(2)):
-                found = anchors.of(buf, offsets, ids[i:j].astype(np.int64), variants[i:j].astype(np.uint16))
+                found = anchors.of(buf, offsets, ids[i:j].astype(np.int64), variants[i:j].astype(np.int64))
                 if found:
                     held.append(found)
                     size += len(found["fp"])
@@ -364,7 +365,7 @@ def window_spans(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
                     r, start = row[a:a + FLUSH_WINDOWS], s[a:a + FLUSH_WINDOWS]
                     at = offsets[r] + start
                     held.append({"hash": powers.between(prefix, at, at + window), "doc": ids[i:j][r].astype(np.int64),
-                                 "variant": variants[i:j][r].astype(np.uint16), "s": start.astype(np.int32),
+                                 "variant": variants[i:j][r].astype(np.int64), "s": start.astype(np.int32),
                                  "bytes": buf[at[:, None] + np.arange(window)]})
                     size += len(r)
                     if size >= FLUSH_WINDOWS:
@@ -389,6 +390,8 @@ def window_spans(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
             twice[1:] |= same
             twice[:-1] |= same
             order = order[twice]
+            if not len(order):  # no window of the bucket stands twice
+                return pd.concat(out, ignore_index=True) if out else _rows(REMOVED, *np.zeros((4, 0), np.int64))
             x = {k: v[order] for k, v in x.items()}
             new = np.concatenate([[True], x["hash"][1:] != x["hash"][:-1]])
             begins, group = np.flatnonzero(new), np.cumsum(new) - 1
@@ -396,7 +399,7 @@ def window_spans(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
             odd = ~new & (x["bytes"] != x["bytes"][begins[group]]).any(axis=1)
             part = (group // SORT_WINDOWS).astype(np.int64)
             later = [np.zeros(0, np.int64)]
-            for k in range(part[-1] + 1 if len(part) else 0):
+            for k in range(part[-1] + 1):
                 lo, hi = np.searchsorted(part, [k, k + 1])
                 sorted_ = lo + np.flatnonzero(new[lo:hi] | odd[lo:hi])
                 kinds = Suffixes(x["bytes"][sorted_]).classes()
@@ -414,6 +417,21 @@ def window_spans(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(lambda frame: meet(frame), SPAN)
 
 
+def _variants(named: DataFrame) -> DataFrame:
+    """``named`` with variant: 0 where a doc_id has one text, else the 64-bit key of the row's text.
+
+    doc_ids with several texts are found by their least and greatest key and marked in a bitmap of at most FILTER_WORDS rows
+    whatever the input, so it is broadcast; a doc_id that shares a bit with one of them has its key too, which changes nothing.
+    """
+    h = F.xxhash64("doc_id")
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    several = named.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b")
+    bitmap = materialise(several.select(word.alias("_w"), bit.alias("_bit")).groupBy("_w").agg(F.bit_or("_bit").alias("_bits")), "several-texts")
+    marked = named.withColumn("_word", word).join(F.broadcast(bitmap), F.col("_word") == F.col("_w"), "left")
+    own = F.coalesce(F.col("_bits"), F.lit(0).cast("long")).bitwiseAND(bit) != 0
+    return marked.withColumn("variant", F.when(own, F.col("key")).otherwise(F.lit(0).cast("long"))).drop("key", "_word", "_w", "_bits")
+
+
 def without_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = GRAM, keep: list[str] | None = None, kept_bytes: str = "kept_bytes",
                            bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with spans (array of start, end in bytes: what is removed), n_bytes, n_removed, n_spans and the bytes that remain.
@@ -428,9 +446,8 @@ def without_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = GRAM,
     new = {"n_bytes", "n_removed", "n_spans", "spans", kept_bytes}
     names = [c for c in (docs.columns if keep is None else keep) if c not in new]
     row = F.struct(*[docs[c] for c in names if c != "text"], F.lit(0).alias("_")).alias("_row")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().bitwiseAND(65535).cast("int").alias("variant"),
-                       F.coalesce("text", F.lit("")).alias("text"), row)
-    named = base.filter("doc_id IS NOT NULL")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"), row)
+    named = _variants(base.filter("doc_id IS NOT NULL"))
     # without other columns both joins below shuffle the same texts, and Spark does so once
     texts = named.select("doc_id", "variant", "text")
     alone = names == ["doc_id"] and docs.schema["doc_id"].dataType == T.LongType()

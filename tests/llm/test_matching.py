@@ -1,5 +1,7 @@
 """Decontamination, line dedup, similarity join and byte dedup against plain versions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +119,29 @@ def test_byte_dedup_of_unnamed_rows(spark):
     assert suffix_dedup.without_repeated_bytes(df.limit(0)).count() == 0
 
 
+def test_byte_dedup_of_a_few_rows(spark):
+    passage = "a passage of letters that two of the rows hold, the second with a number behind it"
+    three = [(1, passage), (2, passage + " number 1710"), (3, "another text that has nothing in common with the other two rows of it")]
+    got = suffix_dedup.without_repeated_bytes(spark.createDataFrame(three, "doc_id long, text string"))
+    assert _bytes(got) == brute.byte_dedup(three) and {r["doc_id"]: r["n_removed"] for r in got.collect()} == {1: 0, 2: len(passage), 3: 0}
+    rng = random.Random(8)
+    for n in (2, 3, 5, 9, 14, 20):
+        parts = [data.prose(rng, rng.randrange(4, 25)) for _ in range(4)]
+        docs = [(i * 3, " ".join(rng.choice([rng.choice(parts), data.prose(rng, 12)]) for _ in range(rng.randrange(1, 4)))) for i in range(n)]
+        assert _bytes(suffix_dedup.without_repeated_bytes(spark.createDataFrame(docs, "doc_id long, text string"))) == brute.byte_dedup(docs)
+
+
+def test_byte_dedup_of_two_texts_of_one_id(spark):
+    rng = random.Random(9)
+    shared, own = data.prose(rng, 30), data.prose(rng, 40)
+    # short hashes of some of these texts agree; every one is judged by itself
+    rows = [(1, shared), *[(7, f"{own} {i}" if i % 2 else f"{shared} {i}") for i in range(400)], (7, f"{own} 1"), (8, "short"), (8, None)]
+    got = suffix_dedup.without_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep=["doc_id"])
+    left = sorted(r["n_removed"] for r in got.filter("doc_id = 7").collect())
+    assert left == [0] * 201 + [len(shared)] * 200
+    assert got.filter("doc_id <> 7 AND n_removed > 0").count() == 0
+
+
 def test_suffix_order():
     import numpy as np
     rows = np.array([list(b"banana"), list(b"ananas"), list(b"banana"), list(b"anabas"), list(b"zzzzzz")], np.uint8)
