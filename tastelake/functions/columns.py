@@ -52,17 +52,8 @@ def sample_std(c: str | Column) -> Column:
     return F.coalesce(F.stddev_samp(c), F.lit(0.0))
 
 
-def dot(a: str | Column, b: str | Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def l2_normalised(v: str | Column) -> Column:
     """Row scaled to unit length; a zero row stays zero."""
     v = F.col(v) if isinstance(v, str) else v
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
-
-
-def missing(c: str | Column) -> Column:
-    """NULL or NaN."""
-    return F.isnull(c) | F.isnan(c)
