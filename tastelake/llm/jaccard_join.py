@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastelake.llm.components import components
-from tastelake.llm.textblocks import ALNUM, LOWER, Powers, blocks, grams, mixed, spans
+from tastelake.llm.textblocks import ALNUM, LOWER, PrimePowers, blocks, grams, mixed, spans
 from tastelake.llm.winnowing import text_key
 from tastelake.session import materialise
 
@@ -24,7 +24,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 500, 500_000
 FILTER_WORDS = 1 << 20      # 64-bit words of the bitmap that keeps texts of no candidate out of the shuffle
 
 
-def shingles(buf: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+def shingles(buf: np.ndarray, offsets: np.ndarray, powers: PrimePowers) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes and their texts. A text of fewer words than a shingle, but not none, is one."""
     low = LOWER[buf]
     starts, ends, rows = spans(ALNUM[low], offsets)
@@ -69,7 +69,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
+    powers = PrimePowers()
     for batch in batches:
         for i, j, buf, offsets in blocks(batch.column(2)):
             keys, rows = shingles(buf, offsets, powers)
@@ -93,7 +93,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
+    powers = PrimePowers()
     names = [0, 1, 2, 3]
     for batch in batches:
         for i, j, buf, offsets in blocks(batch.column(4)):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tastelake.llm.textblocks import (LOWER, SPACED, Powers, arrow_rows, blocks, counts, covered, grams, mixed, repeated, running,
+from tastelake.llm.textblocks import (LOWER, SPACED, PrimePowers, arrow_rows, blocks, counts, covered, grams, mixed, repeated, running,
                                       salted, spans, table)
 from tastelake.session import materialise
 
@@ -25,7 +25,7 @@ STEP = 0.001               # ratios are counted in steps of this width
 FILTER_WORDS = 1 << 20     # 64-bit words of the bitmap that keeps texts of other documents out of the shuffle
 
 
-def measures(buf: np.ndarray, offsets: np.ndarray, powers: Powers) -> dict[str, np.ndarray]:
+def measures(buf: np.ndarray, offsets: np.ndarray, powers: PrimePowers) -> dict[str, np.ndarray]:
     """The plain measures of each text."""
     n = len(offsets) - 1
     inside = SPACED[buf]
@@ -48,7 +48,7 @@ def measures(buf: np.ndarray, offsets: np.ndarray, powers: Powers) -> dict[str,
     }
 
 
-def buckets(buf: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+def buckets(buf: np.ndarray, offsets: np.ndarray, powers: PrimePowers) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words and word pairs, lower-cased in A-Z, and their texts."""
     starts, ends, rows = spans(SPACED[buf], offsets)
     words = powers.between(powers.prefixes(LOWER[buf]), starts, ends)
@@ -83,7 +83,7 @@ def _counted(texts: DataFrame) -> np.ndarray:
     size = 1 << BUCKET_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, total = Powers(), np.zeros(size, np.int64)
+        powers, total = PrimePowers(), np.zeros(size, np.int64)
         for batch in batches:
             for _, _, buf, offsets in blocks(batch.column(0)):
                 total += np.bincount(buckets(buf, offsets, powers)[0], minlength=size)
@@ -133,7 +133,7 @@ def relative_threshold(texts: DataFrame, raw: np.ndarray, target: np.ndarray, le
     rate_of_all = raw / max(raw.sum(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers = PrimePowers()
         for batch in batches:
             for i, j, buf, offsets in blocks(batch.column(0)):
                 found, rows = buckets(buf, offsets, powers)
@@ -170,7 +170,7 @@ def rate(docs: DataFrame, ratios: np.ndarray, threshold: float, least_words: int
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, t) for c, t in types.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers = PrimePowers()
         for batch in batches:
             for i, j, buf, offsets in blocks(batch.column(batch.schema.get_field_index("text"))):
                 out = measures(buf, offsets, powers)

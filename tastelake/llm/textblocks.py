@@ -103,6 +103,51 @@ class Powers:
         return mixed((prefix[ends] - prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
+class PrimePowers:
+    """String hashes as those of :class:`Powers`, modulo two primes of 31 bits.
+
+    A power of two as the modulus gives some long texts the same hash whatever the base; primes do not.
+    """
+
+    PRIMES = (2_147_483_647, 2_147_483_629)
+    CHUNK = 1 << 22  # sums of so many terms fit 64 bits
+
+    def __init__(self, bases: tuple[int, int] = (1_103_515_245, 1_664_525_017)):
+        self.bases, self.up, self.down = bases, [np.ones(1, np.uint32)] * 2, [np.ones(1, np.uint32)] * 2
+
+    def upto(self, n: int) -> None:
+        for k, p in enumerate(self.PRIMES):
+            for held, base in ((self.up, self.bases[k]), (self.down, pow(self.bases[k], -1, p))):
+                while len(held[k]) < n:
+                    more = held[k].astype(np.uint64) * np.uint64(pow(base, len(held[k]), p)) % np.uint64(p)
+                    held[k] = np.concatenate([held[k], more.astype(np.uint32)])
+
+    def prefixes(self, buf: np.ndarray) -> list[np.ndarray]:
+        """Polynomial hashes of all prefixes, for each prime."""
+        self.upto(len(buf) + 1)
+        out = []
+        for up, p in zip(self.up, self.PRIMES):
+            prefix, carry = np.zeros(len(buf) + 1, np.uint32), np.uint64(0)
+            for i in range(0, len(buf), self.CHUNK):
+                terms = buf[i:i + self.CHUNK].astype(np.uint64)
+                terms += np.uint64(1)
+                terms *= up[i:i + len(terms)]
+                np.cumsum(terms, out=terms)
+                terms += carry
+                terms %= np.uint64(p)
+                prefix[i + 1:i + 1 + len(terms)] = terms
+                carry = terms[-1]
+            out.append(prefix)
+        return out
+
+    def between(self, prefix: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the strings [start, end), the same wherever a string stands."""
+        first, second = (
+            (x[ends].astype(np.uint64) + np.uint64(p) - x[starts]) % np.uint64(p) * down[starts] % np.uint64(p)
+            for x, down, p in zip(prefix, self.down, self.PRIMES))
+        return mixed((first << np.uint64(32) | second) + (ends - starts).astype(np.uint64) * np.uint64(_SALT))
+
+
 def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``n`` consecutive words of one text, and the index of their first word."""
     if len(hashes) < n:

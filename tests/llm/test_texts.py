@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tastelake.llm import bpe, chat, classifier, quality_rules, token_counts, url_reputation
+from tastelake.llm import bpe, chat, classifier, quality_rules, textblocks, token_counts, url_reputation
 from tests.llm import brute, data
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -88,6 +88,27 @@ def test_quality_measures(spark):
     assert {r["doc_id"]: (r["base_failed"], r["kept"]) for r in got.collect()} == {d: (f, not f) for d, f in failed.items()}
 
 
+def test_lines_that_collide_modulo_a_power_of_two(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ab"[1 - x] for x in bits)
+    docs = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{a}"), (3, " ".join([a, "x", "y", "z", "w", b, "x", "y", "z", "w"]))]
+    got = quality_rules.rate(spark.createDataFrame(docs, "doc_id long, text string"), np.zeros(1 << quality_rules.BUCKET_BITS), 0.0)
+    assert {r["doc_id"]: tuple(r[m] for m in quality_rules.MEASURES) for r in got.collect()} == {d: brute.measures(t) for d, t in docs}
+
+
+def test_prime_hashes_of_long_texts(monkeypatch):
+    powers = textblocks.PrimePowers()
+    buf = np.frombuffer(random.Random(5).randbytes(5000), np.uint8)
+    whole = powers.prefixes(buf)
+    monkeypatch.setattr(textblocks.PrimePowers, "CHUNK", 7)
+    assert all((x == y).all() for x, y in zip(whole, textblocks.PrimePowers().prefixes(buf)))
+    twice = np.concatenate([buf[100:900], buf[:50], buf[100:900]])
+    prefix = powers.prefixes(twice)
+    at = np.array([0, 850, 850]), np.array([800, 1650, 1649])
+    h = powers.between(prefix, *at)
+    assert h[0] == h[1] != h[2]
+
+
 def test_quality_keeps_what_is_like_the_trusted(spark):
     rng = random.Random(4)
     clean = [(i, data.prose(rng, 80)) for i in range(150)]
