@@ -92,8 +92,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     are read whole.
     """
     found = materialise(hits(docs, benchmark, window, gram, broadcast_rows), "hits")
-    spans = found.groupBy("doc_id", "key").agg(
-        merged(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"))
+    spans = merged(found.withColumn("end", F.col("start") + F.col("len")), ["doc_id", "key"])
     named = found.select("doc_id", "key", "item_id").distinct().groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     per_doc = spans.join(named.withColumnsRenamed({"doc_id": "_d", "key": "_k"}),
                          F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).drop("_d", "_k")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,16 +47,19 @@ def runs(of: str) -> Column:
                       lambda s, e: F.struct(s.alias("start"), (e - s).alias("run"), F.get(of, s).alias("fp")))
 
 
-def merged(spans: Column) -> Column:
-    """Union of an array of (start, end): maximal spans, in order."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+def merged(spans: DataFrame, by: list[str], shown: tuple[str, str] = ("start", "end")) -> DataFrame:
+    """``by`` and spans: the union of the rows' (start, end) as maximal spans in order, one row per ``by``. The spans hold the least and the
+    greatest of the columns ``shown``.
 
-    def add(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(F.size(done) == 0, F.array(s)).when(s["start"] <= last["end"], joined).otherwise(F.concat(done, F.array(s)))
-
-    return F.aggregate(F.array_sort(spans), empty, add)
+    A running maximum over the sorted rows, so the work grows with their number times its logarithm. The spans of one ``by`` meet
+    in one task: they lie in one text.
+    """
+    w = Window.partitionBy(*by).orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.select(*by, *{"start": 0, "end": 0, shown[0]: 0, shown[1]: 0}).distinct().withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    numbered = opened.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy(*by, "_run").agg(F.min(shown[0]).alias("start"), F.max(shown[1]).alias("end"))
+    return whole.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def total_length(spans: Column) -> Column:

@@ -35,19 +35,22 @@ def contamination(docs, items):
     return out
 
 
-def line_dedup(docs, run=3, long=200):
+def line_dedup(docs, size=50):
+    """Every run of lines that is long enough, of whatever number of lines, is looked up."""
     first, rows = {}, []
     for doc, text in docs:
         lines = (text or "").split("\n")
         real = [i for i, line in enumerate(lines) if line.strip(" ")]
-        windows = [(real[a], real[a + run - 1], (run, *(lines[i] for i in real[a:a + run]))) for a in range(len(real) - run + 1)]
-        windows += [(i, i, (1, lines[i])) for i in real if len(lines[i]) >= long]
-        for a, _, key in windows:
+        found = [(real[a], real[b], tuple(lines[i] for i in real[a:b + 1])) for a in range(len(real)) for b in range(a, len(real))
+                 if sum(len(lines[i].strip(" ")) for i in real[a:b + 1]) >= size]
+        for a, _, key in found:
             first[key] = min(first.get(key, (doc, a)), (doc, a))
-        rows.append((doc, lines, windows))
+        rows.append((doc, lines, found))
     out = {}
-    for doc, lines, windows in rows:
-        gone = {i for a, b, key in windows if first[key] < (doc, a) for i in range(a, b + 1)}
+    for doc, lines, found in rows:
+        gone = {i for a, b, key in found if first[key] < (doc, a) for i in range(a, b + 1)}
+        real = [i for i, line in enumerate(lines) if line.strip(" ")]
+        gone |= {i for a, b in zip(real, real[1:]) if a in gone and b in gone for i in range(a, b)}  # blank lines between
         out[doc] = (len(lines), len(gone), "\n".join(line for i, line in enumerate(lines) if i not in gone))
     return out
 

@@ -52,13 +52,36 @@ def test_line_dedup(docs, table):
 
 
 def test_line_dedup_of_one_copied_text(spark):
-    text = "\n".join(f"line {i}" for i in range(5))
+    text = "\n".join(f"line {i} of a text" for i in range(5))
     df = spark.createDataFrame([(i, text) for i in range(60)] + [(None, text), (3, text)], "doc_id long, text string")
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_deleted"]) for r in line_dedup.without_repeats(df).collect())
     assert got == sorted([(-1, 0), (3, 5)] + [(i, 5) for i in range(60)])
     assert line_dedup.without_repeats(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_runs(spark):
+    one = "a single line of less than sixty letters that is copied"
+    two = ["the first of two lines", "and the second one, of some thirty"]
+    passage = [data.prose(random.Random(1), 30), data.prose(random.Random(2), 30)]
+    docs = [(1, "\n".join([one, "own line", *two, "end"])), (2, "\n".join(["before", *two, "", one, "behind"])),
+            (3, "\n".join([two[0], "not the second", two[1]])), (4, "\n".join(["x", *passage, "short tail", "y"])),
+            (5, "\n".join([*passage, "short tail", "z"])), (6, "\n".join(["ha ha ha"] * 30)), (7, "short tail\nz\n\n"), (8, "\n".join(["  " + one, one + "  "]))]
+    rng = random.Random(3)
+    parts = ["yes", "no", "a b", "line of some length here", "another line, rather long, of fifty characters or so.", "", " "]
+    docs += [(20 + i, "\n".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))) for i in range(60)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_deleted"], r["text"]) for r in line_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute.line_dedup(docs)
+    assert got[2][2] == "before\nbehind" and got[3][1] == 0 and got[5][2] == "z" and got[6][2] == "ha ha ha" and got[7][1] == 0
+
+
+def test_line_dedup_of_a_long_text(spark):
+    rng = random.Random(4)
+    lines = [f"{rng.random()} is the number of this line, which stands in both of the texts" if i % 3 else f"short {i % 7}" for i in range(20_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(f"{x}{' own' if i % 5 == 0 else ''}" for i, x in enumerate(lines)))], "doc_id long, text string")
+    got = line_dedup.without_repeats(df).filter("doc_id = 2").first()
+    assert got["n_deleted"] > 10_000 and got["n_runs"] > 3_000 and got["n_lines"] == 20_000
+
+
 @pytest.mark.parametrize("block_rows", [500, 4])
 def test_near_duplicates(docs, table, block_rows):
     got = jaccard_join.near_duplicates(table, block_rows=block_rows)
