@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from tastelake.llm.decontamination import WINDOW
-from tastelake.llm.line_dedup import LONG_LINE, RUN_LINES
-from tastelake.llm.queries import PROBE, RULES
+from tastelake.llm.queries import PROBE, RULES, SUFFIXES
 from tastelake.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -55,13 +54,26 @@ def _bound(a: str, b: str) -> str:
     return f"{a} / ({a} + {b}) + 1.645 * sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1)))"
 
 
+_SUFFIX = " + ".join(["1"] + [f"CASE WHEN labels[-2:] = ['{s.split('.')[0]}', '{s.split('.')[1]}'] THEN 1 ELSE 0 END" for s in SUFFIXES])
+
+
+def _prior(mean: str, levels: str) -> str:
+    """Bound of Beta(s m, s (1 - m)) where 1 / (s + 1) comes from the levels up to the known one."""
+    return _bound(f"(({levels}) / (1 - ({levels})) * {mean})", f"(({levels}) / (1 - ({levels})) * (1 - {mean}))")
+
+
+_LEFT = [f"({name}_s.s / ({name}_s.s + 1))" for name in ("hosts", "domains", "ends")]
+
 OP8 = f"""
 WITH p AS (SELECT page_id, url,
   translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-hosts AS (SELECT host, regexp_extract(host, '[^.]*([.][^.]*)?$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(*)::DOUBLE AS n,
+parts AS (SELECT host, string_split(host, '.') AS labels FROM (SELECT DISTINCT host FROM p) AS x),
+sized AS (SELECT *, {_SUFFIX} AS k FROM parts),
+named AS (SELECT host, array_to_string(labels[-(k + 1):], '.') AS domain, array_to_string(labels[-k:], '.') AS suffix FROM sized),
+hosts AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*)::DOUBLE AS n,
   sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS good
-  FROM p JOIN labels ON p.page_id = labels.doc_id WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY host),
+  FROM p JOIN named USING (host) JOIN labels ON p.page_id = labels.doc_id WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain, suffix),
 ends AS (SELECT suffix, 'all' AS whole, sum(n) AS n, sum(good) AS good FROM domains GROUP BY suffix),
 top AS (SELECT 'all' AS whole, (sum(good) + 1) / (sum(n) + 2) AS mean FROM ends),
@@ -69,27 +81,32 @@ top AS (SELECT 'all' AS whole, (sum(good) + 1) / (sum(n) + 2) AS mean FROM ends)
 {_level("domains", "domain", "ends_p", "suffix")},
 {_level("hosts", "host", "domains_p", "domain")},
 by_host AS (SELECT host, {_bound("a", "b")} AS bound FROM hosts_p),
-sum_d AS (SELECT domain, sum(good) + 1 AS a, sum(n) - sum(good) + 1 AS b FROM hosts GROUP BY domain),
-sum_s AS (SELECT suffix, sum(good) + 1 AS a, sum(n) - sum(good) + 1 AS b FROM hosts GROUP BY suffix),
-judged AS (SELECT p.*, coalesce(by_host.bound, {_bound("sum_d.a", "sum_d.b")}, {_bound("sum_s.a", "sum_s.b")}) AS bound FROM p
-  LEFT JOIN by_host ON p.host = by_host.host
-  LEFT JOIN sum_d ON regexp_extract(p.host, '[^.]*([.][^.]*)?$') = sum_d.domain
-  LEFT JOIN sum_s ON regexp_extract(p.host, '[^.]*$') = sum_s.suffix)
+judged AS (SELECT p.*, coalesce(by_host.bound, {_prior("domains_p.mean", _LEFT[0])}, {_prior("ends_p.mean", " * ".join(_LEFT[:2]))},
+  {_prior("top.mean", " * ".join(_LEFT))}) AS bound
+  FROM p JOIN named USING (host) LEFT JOIN by_host ON p.host = by_host.host LEFT JOIN domains_p ON named.domain = domains_p.domain
+  LEFT JOIN ends_p ON named.suffix = ends_p.suffix, top, hosts_s, domains_s, ends_s)
 SELECT page_id, url, host, path, CASE {" ".join(f"WHEN {fits} THEN '{text}'" for fits, text, _ in _FITS)} END AS rule,
   CASE {" ".join(f"WHEN {fits} THEN '{verdict}'" for fits, _, verdict in _FITS)} WHEN round(bound, 9) < 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM judged"""
 
+#: the least size of a repeated run, stated on its own (characters)
+_RUN = 50
+
 OP9 = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 li AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
-nb AS (SELECT doc_id, i, l[i] AS line FROM li WHERE trim(l[i]) <> ''),
-{"".join(f'''
-s{k} AS (SELECT doc_id, i, line, lead(line, {k}) OVER w AS other, lead(i, {k}) OVER w AS at FROM nb WINDOW w AS (PARTITION BY doc_id ORDER BY i)),''' for k in range(1, RUN_LINES))}
-many AS (SELECT s1.doc_id, s1.i AS a, s{RUN_LINES - 1}.at AS b, {RUN_LINES} AS n, s1.line || {" || ".join(f"chr(10) || s{k}.other" for k in range(1, RUN_LINES))} AS txt
-  FROM s1 {" ".join(f"JOIN s{k} ON s1.doc_id = s{k}.doc_id AND s1.i = s{k}.i" for k in range(2, RUN_LINES))} WHERE s{RUN_LINES - 1}.at IS NOT NULL),
-win AS (SELECT * FROM many UNION ALL SELECT doc_id, i, i, 1, line FROM nb WHERE length(line) >= {LONG_LINE}),
-seen AS (SELECT *, row_number() OVER (PARTITION BY n, txt ORDER BY doc_id, a) AS turn FROM win),
-gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM seen WHERE turn > 1),
+nb AS (SELECT doc_id, i, l[i] AS line, length(trim(l[i])) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM li WHERE trim(l[i]) <> ''),
+sums AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM nb),
+ends AS (SELECT doc_id, k,
+  min(k) OVER (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN greatest({_RUN} - n, 0) FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead,
+  max(k) OVER (PARTITION BY doc_id ORDER BY upto - n RANGE BETWEEN UNBOUNDED PRECEDING AND greatest({_RUN} - n, 0) PRECEDING) AS behind FROM sums),
+win AS (SELECT doc_id, k AS x, ahead AS y FROM ends WHERE ahead IS NOT NULL UNION SELECT doc_id, behind, k FROM ends WHERE behind IS NOT NULL),
+whole AS (SELECT doc_id, list(line ORDER BY k) AS lines, list(i ORDER BY k) AS row_of FROM nb GROUP BY doc_id),
+seen AS (SELECT win.doc_id, x, y, row_of, row_number() OVER (PARTITION BY array_to_string(lines[x:y], chr(10)) ORDER BY win.doc_id, x) AS turn
+  FROM win JOIN whole ON win.doc_id = whole.doc_id),
+marked AS (SELECT DISTINCT doc_id, row_of, unnest(range(x, y + 1)) AS k FROM seen WHERE turn > 1),
+ahead AS (SELECT *, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS nk FROM marked),
+gone AS (SELECT doc_id, unnest(range(row_of[k], CASE WHEN nk = k + 1 THEN row_of[k + 1] ELSE row_of[k] + 1 END)) AS i FROM ahead),
 runs AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone),
 per AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN before = i - 1 THEN 0 ELSE 1 END) AS r FROM runs GROUP BY doc_id),
 kept AS (SELECT li.doc_id, string_agg(l[li.i], chr(10) ORDER BY li.i) AS text FROM li LEFT JOIN gone ON li.doc_id = gone.doc_id AND li.i = gone.i
@@ -98,7 +115,6 @@ SELECT d.doc_id, len(l) AS n_lines, coalesce(n, 0) AS n_deleted, CAST(coalesce(r
 FROM d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
 
 
-
 def _assigned(name: str, books: str) -> str:
     """Nearest entry of every part: the squared distance, then the index decides."""
     return f"""

@@ -81,12 +81,16 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
          ("com", "/de/", "block")]
 
 
+#: public suffixes of two labels (fixed values)
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
+
+
 @query
 def op8_url_filter(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     outcomes = pages.join(labels, "page_id").select(url_reputation.host_of(F.col("url")).alias("host"), "good")
-    return url_reputation.judged(pages, outcomes, RULES).drop("bound")
+    return url_reputation.judged(pages, outcomes, RULES, SUFFIXES).drop("bound")
 
 
 @query

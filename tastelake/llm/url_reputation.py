@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,8 +45,8 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return text, verdict
 
 
-def _shrunk(children: DataFrame, key: str, parent: DataFrame, parent_key: str, least: float, most: float) -> DataFrame:
-    """Mean of each ``key`` shrunk to its parent's; the prior's strength by moments over all children."""
+def _shrunk(children: DataFrame, parent: DataFrame, parent_key: str, least: float, most: float) -> tuple[DataFrame, float]:
+    """Mean of each child shrunk to its parent's, and the prior's strength by moments over all children."""
     joined = children.join(parent.select(F.col(parent_key).alias("_p"), F.col("mean").alias("_mean")),
                            F.col(parent_key) == F.col("_p"), "left")
     rate = F.col("good") / F.col("n")
@@ -56,14 +57,32 @@ def _shrunk(children: DataFrame, key: str, parent: DataFrame, parent_key: str, l
     rho = F.when(F.col("r") > 0, (F.col("q") - F.col("b")) / F.col("r")).otherwise(0.0)
     strength = moments.select(F.coalesce(F.when(rho <= 1 / (most + 1), F.lit(most)).when(rho >= 1 / (least + 1), F.lit(least))
                                          .otherwise(1 / rho - 1), F.lit(most))).first()[0]  # one number
-    return joined.withColumns({
+    done = joined.withColumns({
         "a": strength * F.col("_mean") + F.col("good"),
         "b": strength * (1 - F.col("_mean")) + F.col("n") - F.col("good"),
     }).withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))).drop("_p", "_mean")
+    return done, strength
 
 
-def reputation(outcomes: DataFrame, suffixes: Sequence[str] = (), least: float = 1.0, most: float = 1000.0) -> DataFrame:
-    """One row per labelled host: host, domain, suffix, n, good, and its posterior Beta(a, b) with ``mean``.
+class Reputation(NamedTuple):
+    """``hosts``: host, domain, suffix, n, good, posterior Beta(a, b), mean. ``domains`` and ``ends`` (suffixes): alike. ``overall``: the
+    mean of all, null without labels. ``spread``: the correlation 1 / (strength + 1) inside a group of hosts, of domains, of suffixes."""
+    hosts: DataFrame
+    domains: DataFrame
+    ends: DataFrame
+    overall: float | None
+    spread: tuple[float, float, float]
+
+    def strength(self, levels: int) -> float:
+        """Of the prior of a host whose nearest known group is so many levels up: the spreads of the levels add up."""
+        left = 1.0
+        for rho in self.spread[:levels]:
+            left *= 1 - rho
+        return left / (1 - left)
+
+
+def reputation(outcomes: DataFrame, suffixes: Sequence[str] = (), least: float = 1.0, most: float = 1000.0) -> Reputation:
+    """Posteriors of labelled hosts, and what the prior of all others needs.
 
     :param outcomes: host, good (boolean), one row per labelled page.
     :param least, most: bounds of the priors' strength in pages.
@@ -76,12 +95,16 @@ def reputation(outcomes: DataFrame, suffixes: Sequence[str] = (), least: float =
              .withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}))
     hosts = materialise(hosts, "hosts")  # read at each level; one row per host
     total = [F.sum("n").alias("n"), F.sum("good").alias("good")]
-    domains = hosts.groupBy("domain", "suffix").agg(*total)
-    ends = domains.groupBy("suffix").agg(*total).withColumn("all", F.lit("all"))
-    top = ends.agg(*total).select(F.lit("all").alias("all"), ((F.col("good") + 1) / (F.col("n") + 2)).alias("mean"))
-    ends = _shrunk(ends, "suffix", top, "all", least, most)
-    domains = _shrunk(domains, "domain", ends, "suffix", least, most)
-    return _shrunk(hosts, "host", domains, "domain", least, most).select("host", "domain", "suffix", "n", "good", "a", "b", "mean")
+    domains = materialise(hosts.groupBy("domain", "suffix").agg(*total), "domains")
+    ends = materialise(domains.groupBy("suffix").agg(*total).withColumn("all", F.lit("all")), "suffixes")
+    top = materialise(ends.agg(*total).select(F.lit("all").alias("all"), ((F.col("good") + 1) / (F.col("n") + 2)).alias("mean")), "overall")
+    ends, by_suffix = _shrunk(ends, top, "all", least, most)
+    ends = materialise(ends, "suffix-means")
+    domains, by_domain = _shrunk(domains, ends, "suffix", least, most)
+    domains = materialise(domains, "domain-means")
+    hosts, by_host = _shrunk(hosts, domains, "domain", least, most)
+    return Reputation(hosts.select("host", "domain", "suffix", "n", "good", "a", "b", "mean"), domains, ends, top.first()["mean"],
+                      tuple(1 / (s + 1) for s in (by_host, by_domain, by_suffix)))
 
 
 def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], suffixes: Sequence[str] = (),
@@ -93,8 +116,8 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], suffixe
     :param threshold: a host without rule is blocked if even the upper posterior bound of its share of good pages,
         mean + z standard deviations, is below.
 
-    A host without labelled page is judged by the labelled pages of its domain, else of its suffix, else it is allowed:
-    nothing speaks against it. A null url, or one without ``://``, has an empty
+    A host without labelled page is judged by its prior: the mean of its domain, else of its suffix, else of all hosts, with the strength
+    found for hosts around it. Without any label all hosts are allowed. A null url, or one without ``://``, has an empty
     host and path and is judged by the reputation of the empty host. Repeated rows stay, judged alike.
     """
     new = {"host", "path", "rule", "verdict", "bound"}
@@ -105,19 +128,20 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], suffixe
     def bound(a: Column, b: Column) -> Column:
         return a / (a + b) + z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
 
-    by_host = known.select("host", bound(F.col("a"), F.col("b")).alias("_h"))
-
-    def pooled(key: str, name: str) -> DataFrame:
-        sums = known.groupBy(key).agg((F.sum("good") + 1).alias("a"), (F.sum("n") - F.sum("good") + 1).alias("b"))
-        return sums.select(key, bound(F.col("a"), F.col("b")).alias(name))
+    def prior(mean: str, levels: int) -> Column:
+        s = F.lit(known.strength(levels))
+        return bound(s * F.col(mean), s * (1 - F.col(mean)))
 
+    by_host = known.hosts.select("host", bound(F.col("a"), F.col("b")).alias("_h"))
+    by_domain = known.domains.select(F.col("domain").alias("_domain"), F.col("mean").alias("_d"))
+    by_suffix = known.ends.select(F.col("suffix").alias("_suffix"), F.col("mean").alias("_s"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     # every host once, so the pages themselves are joined by host alone
     hosts = (base.select("host").distinct().withColumns({"_domain": domain_of(F.col("host"), suffixes), "_suffix": suffix_of(F.col("host"), suffixes)})
              .join(by_host, "host", "left")
-             .join(pooled("domain", "_d").withColumnRenamed("domain", "_domain"), "_domain", "left")
-             .join(pooled("suffix", "_s").withColumnRenamed("suffix", "_suffix"), "_suffix", "left")
-             .select("host", F.coalesce("_h", "_d", "_s").alias("bound")))
+             .join(by_domain, "_domain", "left").join(by_suffix, "_suffix", "left")
+             .withColumn("_t", F.lit(known.overall).cast("double"))
+             .select("host", F.coalesce("_h", prior("_d", 1), prior("_s", 2), prior("_t", 3)).alias("bound")))
     out = base.join(materialise(hosts, "host-bounds"), "host", "left")
     upper = F.col("bound")
     method = F.when(F.round(upper, 9) < threshold, "block").otherwise("allow")

@@ -228,9 +228,31 @@ def test_url_parts_and_rules(spark):
 
 def test_reputation_shrinks_to_the_domain(spark):
     rows = [("bad.spam.net", False)] * 30 + [("few.spam.net", False)] * 1 + [("few.good.net", False)] * 1 + [("a.good.net", True)] * 40 + [("b.good.net", True)] * 40 + [(None, True), ("x.y", None)]
-    known = {r["host"]: r for r in url_reputation.reputation(spark.createDataFrame(rows, "host string, good boolean")).collect()}
+    known = {r["host"]: r for r in url_reputation.reputation(spark.createDataFrame(rows, "host string, good boolean")).hosts.collect()}
     assert set(known) == {"bad.spam.net", "few.spam.net", "few.good.net", "a.good.net", "b.good.net"}
     assert known["bad.spam.net"]["mean"] < known["few.spam.net"]["mean"] < known["few.good.net"]["mean"] < known["a.good.net"]["mean"]
     pages = spark.createDataFrame([(1, "http://bad.spam.net/"), (2, "http://new.spam.net/"), (3, "http://a.good.net/"), (4, "http://else.dev/")], "page_id long, url string")
     got = url_reputation.judged(pages, spark.createDataFrame(rows, "host string, good boolean"), [])
     assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_unlabelled_hosts_have_the_prior(spark):
+    # 300 hosts of a suffix, 49.5 % good, the pooled pages alone would block all others
+    rows = [(f"h{i}.d{i}.net", (i * 7 + k) % 200 < 99) for i in range(300) for k in range(20)]
+    outcomes = spark.createDataFrame(rows + [("hot.co.uk", False)] * 400 + [("other.co.uk", True)] * 3, "host string, good boolean")
+    urls = ["http://new.d5.net/", "http://new.else.net/", "http://h7.d7.net/", "http://hot.co.uk/", "http://www.hot.co.uk/", "http://third.co.uk/", "http://a.dev/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_reputation.judged(pages, outcomes, [], ["co.uk"]).collect()}
+    known = url_reputation.reputation(outcomes, ["co.uk"])
+    means = {r["suffix"]: r["mean"] for r in known.ends.collect()}
+    s, m = known.strength(2), means["net"]
+    assert known.strength(3) < known.strength(2) < known.strength(1) <= 1000 + 1e-6
+    assert got[1]["bound"] == pytest.approx(m + 1.645 * (m * (1 - m) / (s + 1)) ** 0.5)
+    assert got[1]["verdict"] == "allow" and got[3]["verdict"] == "block" and got[6]["verdict"] == "allow"
+    domains = {r["domain"]: r["mean"] for r in known.domains.collect()}
+    assert {"hot.co.uk", "other.co.uk", "d5.net"} <= set(domains) and got[4]["verdict"] == "block"
+    c = means["co.uk"]
+    assert got[5]["bound"] == pytest.approx(c + 1.645 * (c * (1 - c) / (s + 1)) ** 0.5)
+    assert url_reputation.judged(pages.limit(0), outcomes, []).count() == 0
+    none = url_reputation.judged(pages, outcomes.limit(0), []).collect()
+    assert {r["verdict"] for r in none} == {"allow"} and len(none) == 7
