@@ -54,6 +54,23 @@ def histogram_quantile(buckets: DataFrame, quantiles: Sequence[float], labels: S
             .groupBy(*labels, "quantile").agg(F.min_by(value, "le").alias("value")))
 
 
+def quantile_series(log: DataFrame, value: str, bounds: Sequence[float], quantiles: Sequence[float], labels: Sequence[str] = (),
+                    minutes: int = 1, ts: str = "ts") -> DataFrame:
+    """Quantiles of ``value`` at each minute over the ``minutes`` up to it: minute (start, in seconds), labels, quantile, value, n.
+
+    The buckets of a minute are the increase of cumulative counters in it; those of the last ``minutes`` are added, then the
+    quantile is interpolated. Rows are counted once into minutes, so wider ranges only repeat the counts. A minute without a
+    row in its range has no value. Rows without a time or value are not counted.
+    """
+    minute = F.unix_seconds(F.date_trunc("minute", ts))
+    timed = log.filter(F.col(ts).isNotNull() & F.col(value).isNotNull()).select(*labels, minute.alias("minute"), value)
+    counts = histogram(timed, value, bounds, [*labels, "minute"])
+    steps = F.transform(F.sequence(F.lit(0), F.lit(minutes - 1)), lambda k: F.col("minute") + 60 * k)
+    ranges = counts.withColumn("minute", F.explode(steps)).groupBy(*labels, "minute", "le").agg(F.sum("cum").alias("cum"), F.sum("count").alias("count"))
+    found = histogram_quantile(ranges, quantiles, [*labels, "minute", "count"])
+    return found.withColumnRenamed("count", "n")
+
+
 def rate_per_minute(log: DataFrame, labels: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """Events per second in each minute, by label."""
     return log.groupBy(F.window(ts, "1 minute").alias("w"), *labels).agg(F.count("*").alias("n")).select(

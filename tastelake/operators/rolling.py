@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tastelake.functions.columns import genre_tokens, sample_std
@@ -10,19 +12,23 @@ WEEK_SECONDS = 7 * 86_400
 LATENESS = "1 hour"
 
 
-def windowed_stats(events: DataFrame, key: str, width: str = "1 hour", slide: str | None = None,
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def windowed_stats(events: DataFrame, key: str | Sequence[str], width: str = "1 hour", slide: str | None = None,
                    ts: str = "ts") -> DataFrame:
-    """Count, mean and deviation of ratings per key and time window; runs on batch and stream."""
+    """Count, mean and deviation of ratings per key (or keys) and time window; runs on batch and stream."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return events.groupBy(w.alias("w"), key).agg(
+    return events.groupBy(w.alias("w"), *_keys(key)).agg(
         F.count("rating").alias("rating_count"), F.avg("rating").alias("avg_rating"),
         sample_std("rating").alias("rating_stddev"),
-    ).select(F.unix_seconds("w.start").alias("window_start"), key, "rating_count", "avg_rating", "rating_stddev")
+    ).select(F.unix_seconds("w.start").alias("window_start"), *_keys(key), "rating_count", "avg_rating", "rating_stddev")
 
 
-def running_stats(events: DataFrame, key: str, ts: str = "timestamp") -> DataFrame:
-    """Totals per key over everything seen so far, stamped with its latest event."""
-    return events.groupBy(key).agg(
+def running_stats(events: DataFrame, key: str | Sequence[str], ts: str = "timestamp") -> DataFrame:
+    """Totals per key (or keys) over everything seen so far, stamped with its latest event."""
+    return events.groupBy(*_keys(key)).agg(
         F.count("rating").alias("rating_count"), F.avg("rating").alias("avg_rating"),
         sample_std("rating").alias("rating_stddev"), F.max(ts).alias("event_timestamp"))
 
@@ -50,13 +56,20 @@ def rolling_average(ratings: DataFrame, key: str = "user_id", seconds: int = WEE
         key, F.col("at").alias("timestamp"), "rating_count", F.try_divide("total", "rating_count").alias("avg_rating"))
 
 
+def genre_events(ratings: DataFrame, movies: DataFrame) -> DataFrame:
+    """The ratings, once per genre of the movie, with all columns and ``genre``; runs on batch and stream."""
+    joined = ratings.join(movies.select("movie_id", "genres"), "movie_id")
+    return joined.select(*ratings.columns, F.explode(genre_tokens("genres")).alias("genre"))
+
+
+def with_share(totals: DataFrame) -> DataFrame:
+    """Totals per user and genre with the ``share`` of the user's genre labels."""
+    total = F.sum("rating_count").over(Window.partitionBy("user_id"))  # a row per genre
+    return totals.withColumn("share", F.try_divide("rating_count", total))
+
+
 def genre_affinity(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     """Per user and genre: ratings, their mean and the share of the user's genre labels."""
-    joined = ratings.select("user_id", "movie_id", "rating").join(movies.select("movie_id", "genres"), "movie_id")
-    per_genre = (joined.select("user_id", "rating", F.explode(genre_tokens("genres")).alias("genre"))
-                 .groupBy("user_id", "genre").agg(F.count("rating").alias("n"), F.sum("rating").alias("s")))
-    # one row per user and genre, so a window holds at most the number of genres
-    total = F.sum("n").over(Window.partitionBy("user_id"))
-    return per_genre.withColumn("total", total).select(
-        "user_id", "genre", F.col("n").alias("rating_count"),
-        F.try_divide("s", "n").alias("avg_rating"), F.try_divide("n", "total").alias("share"))
+    per_genre = (genre_events(ratings.select("user_id", "movie_id", "rating"), movies)
+                 .groupBy("user_id", "genre").agg(F.count("rating").alias("rating_count"), F.avg("rating").alias("avg_rating")))
+    return with_share(per_genre)

@@ -28,7 +28,7 @@ checked AS (
     CASE WHEN rating >= 0.5 AND rating <= 5.0 THEN NULL ELSE 'rating' END) AS reasons
   FROM rating_events)"""
 
-VALID = f"(WITH {CHECKED} SELECT user_id, rating, ts FROM checked WHERE reasons = '')"
+VALID = f"(WITH {CHECKED} SELECT user_id, movie_id, rating, ts FROM checked WHERE reasons = '')"
 
 LOG = """
 request_log AS (
@@ -149,16 +149,30 @@ def _le_text() -> str:
     return "CASE WHEN isinf(le) THEN 'Infinity' ELSE CAST(le AS VARCHAR) END AS le"
 
 
-def _windows(relation: str, width: int, slide: int) -> str:
+def _windows(relation: str, width: int, slide: int, key: str = "user_id") -> str:
     """Tumbling and sliding windows: each event joins all windows that cover it."""
     n = width // slide
     return f"""
-  SELECT (e // {slide} - k) * {slide} AS window_start, user_id, count(rating) AS rating_count,
+  SELECT (e // {slide} - k) * {slide} AS window_start, {key}, count(rating) AS rating_count,
          round(avg(rating), 10) AS avg_rating, round(coalesce(stddev_samp(rating), 0.0), 10) AS rating_stddev
-  FROM (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS e, user_id, rating, unnest(range({n})) AS k
+  FROM (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS e, {key}, rating, unnest(range({n})) AS k
         FROM {relation}) GROUP BY ALL"""
 
 
+def _series(minutes: int, label: str | None) -> str:
+    """Every row counts in the minutes whose range covers it; quantiles from the buckets of each."""
+    from tastelake.operators import monitor
+    label_, using = (f"{label}, ", f"{label}, minute") if label else ("", "minute")
+    return f"""WITH {LOG},
+timed AS (SELECT {label_}CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 + 60 * unnest(range({minutes})) AS "minute", duration_s FROM request_log),
+h AS ({_buckets("timed", "duration_s", monitor.REQUEST_SECONDS, using)}),
+s AS (SELECT *, coalesce(lag(le) OVER w, 0.0) AS lo, coalesce(lag(cum) OVER w, 0) AS below FROM h WINDOW w AS (PARTITION BY {using} ORDER BY le))
+SELECT {using}, "count" AS n, q.quantile, round(CASE WHEN isinf(le) THEN lo
+  ELSE lo + (le - lo) * (q.quantile * "count" - below) / (cum - below) END, 6) AS value
+FROM s CROSS JOIN (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) q(quantile) WHERE cum >= q.quantile * "count"
+QUALIFY row_number() OVER (PARTITION BY {using}, q.quantile ORDER BY le) = 1"""
+
+
 def sql() -> dict[str, str]:
     from tastelake.operators import monitor
     from tastelake.plans.queries import AS_OF, HEAD_EVENTS, SNAPSHOT_FROM
@@ -336,6 +350,19 @@ SELECT endpoint, q.quantile, round(CASE WHEN isinf(le) THEN lo
 FROM s CROSS JOIN (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) q(quantile) WHERE cum >= q.quantile * "count"
 QUALIFY row_number() OVER (PARTITION BY endpoint, q.quantile ORDER BY le) = 1"""
     minute = 'CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS "minute"'
+    q["candidate_count_histogram"] = f"""WITH {SERVING},
+sizes AS (SELECT user_id, count(*) AS value FROM linear GROUP BY user_id),
+h AS ({_buckets("sizes", "value", monitor.CANDIDATE_COUNTS, None)})
+SELECT {_le_text()}, cum, "count", CAST("sum" AS BIGINT) AS "sum" FROM h"""
+    q["recommend_latency_histogram"] = f"""WITH {LOG}, r AS (SELECT * FROM request_log WHERE endpoint = 'view'),
+h AS ({_buckets("r", "duration_s", monitor.RECOMMEND_SECONDS, None)})
+SELECT "count", round("sum", 4) AS "sum", {_le_text()}, cum FROM h"""
+    q["lookup_latency_histogram"] = f"""WITH {LOG},
+r AS (SELECT CASE WHEN endpoint = 'signup' THEN 'user' ELSE 'movie' END AS entity_type, duration_s / 10 AS duration_s FROM request_log WHERE endpoint <> 'view'),
+h AS ({_buckets("r", "duration_s", monitor.LOOKUP_SECONDS, "entity_type")})
+SELECT entity_type, "count", round("sum", 4) AS "sum", {_le_text()}, cum FROM h"""
+    q["latency_quantile_series"] = _series(5, "endpoint")
+    q["latency_quantiles_per_minute"] = _series(1, None)
     q["rate_per_minute"] = f"""WITH {LOG}
 SELECT {minute}, endpoint, count(*) AS n, round(count(*) / 60.0::DOUBLE, 6) AS per_second FROM request_log GROUP BY 1, 2"""
     q["error_rate"] = f"""WITH {LOG}
@@ -358,4 +385,13 @@ WHERE window_start + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM {VALID})"""
     q["stream_running_totals"] = f"""SELECT user_id, count(*) AS rating_count, round(avg(r), 10) AS avg_rating,
   round(coalesce(stddev_samp(r), 0.0), 10) AS rating_stddev, max(epoch_us(ts)) AS event_timestamp
 FROM (SELECT user_id, rating AS r, ts FROM {VALID}) GROUP BY user_id"""
+    q["stream_movie_windows"] = f"""SELECT * FROM ({_windows(VALID, 86400, 86400, "movie_id")})
+WHERE window_start + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM {VALID})"""
+    q["stream_movie_totals"] = f"""SELECT movie_id, count(*) AS rating_count, round(avg(r), 10) AS avg_rating,
+  round(coalesce(stddev_samp(r), 0.0), 10) AS rating_stddev, max(epoch_us(ts)) AS event_timestamp
+FROM (SELECT movie_id, rating AS r, ts FROM {VALID}) GROUP BY movie_id"""
+    q["stream_genre_affinity"] = f"""WITH {MOVIES}, t AS (
+  SELECT user_id, rating, unnest(string_split(genres, '|')) AS genre FROM {VALID} AS v JOIN movies USING (movie_id))
+SELECT user_id, genre, count(*) AS rating_count, round(avg(rating), 9) AS avg_rating,
+  round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 9) AS share FROM t GROUP BY user_id, genre"""
     return q

@@ -375,6 +375,13 @@ def result_count_histogram(spark, sf_dir):
     return monitor.histogram(sizes, "value", monitor.RESULT_COUNTS).withColumn("le", F.col("le").cast("string"))
 
 
+@query
+def candidate_count_histogram(spark, sf_dir):
+    """Candidates per request before ranking."""
+    sizes = recommend.list_sizes(_linear(spark, sf_dir))
+    return monitor.histogram(sizes, "value", monitor.CANDIDATE_COUNTS).withColumn("le", F.col("le").cast("string"))
+
+
 def _trained(spark, sf_dir):
     r, m = views.ratings(spark, sf_dir), views.movies(spark, sf_dir)
     split = training.split_features(tables.write_snapshot(_training_set(spark, sf_dir), new_path(spark, "training")))
@@ -524,6 +531,36 @@ def latency_quantiles(spark, sf_dir):
     return _rounded(monitor.histogram_quantile(h, [0.5, 0.95, 0.99], ["endpoint"]), "value")
 
 
+@query
+def recommend_latency_histogram(spark, sf_dir):
+    """Durations of views, which stand for recommendation requests."""
+    log = views.request_log(spark, sf_dir).filter("endpoint = 'view'")
+    return _rounded(monitor.histogram(log, "duration_s", monitor.RECOMMEND_SECONDS), "sum", digits=4).withColumn("le", F.col("le").cast("string"))
+
+
+@query
+def lookup_latency_histogram(spark, sf_dir):
+    """Durations of the other requests, signups as lookups of users and the rest as lookups of movies, a tenth of the whole each."""
+    log = views.request_log(spark, sf_dir).filter("endpoint <> 'view'").select(
+        F.when(F.col("endpoint") == "signup", "user").otherwise("movie").alias("entity_type"), (F.col("duration_s") / 10).alias("duration_s"))
+    h = monitor.histogram(log, "duration_s", monitor.LOOKUP_SECONDS, ["entity_type"])
+    return _rounded(h, "sum", digits=4).withColumn("le", F.col("le").cast("string"))
+
+
+@query
+def latency_quantile_series(spark, sf_dir):
+    """Quantiles per minute and endpoint over the last five minutes."""
+    found = monitor.quantile_series(views.request_log(spark, sf_dir), "duration_s", monitor.REQUEST_SECONDS, [0.5, 0.95, 0.99], ["endpoint"], 5)
+    return _rounded(found, "value")
+
+
+@query
+def latency_quantiles_per_minute(spark, sf_dir):
+    """Quantiles per minute over all endpoints."""
+    found = monitor.quantile_series(views.request_log(spark, sf_dir), "duration_s", monitor.REQUEST_SECONDS, [0.5, 0.95, 0.99])
+    return _rounded(found, "value")
+
+
 @query
 def rate_per_minute(spark, sf_dir):
     return _rounded(monitor.rate_per_minute(views.request_log(spark, sf_dir), ["endpoint"]), "per_second")
@@ -556,7 +593,7 @@ def genre_affinity(spark, sf_dir):
 def _timed_events(df: DataFrame) -> DataFrame:
     """Valid ratings with their times."""
     found = events.valid_events(views.as_rating_events(df).withColumn("ts", epoch_micros("ts")))
-    return found.select(F.timestamp_micros("ts").alias("ts"), "user_id", "rating")
+    return found.select(F.timestamp_micros("ts").alias("ts"), "user_id", "movie_id", "rating")
 
 
 @query
@@ -590,3 +627,32 @@ def stream_running_totals(spark, sf_dir):
     stream = _timed_events(_event_stream(spark, sf_dir)).select("user_id", "rating", F.unix_micros("ts").alias("timestamp"))
     stream_rolling.running_totals(stream, "user_id", path).awaitTermination()
     return _rounded(stream_rolling.online_table(spark, path, "user_id"), "avg_rating", "rating_stddev", digits=10)
+
+
+@query
+def stream_movie_windows(spark, sf_dir):
+    """Windows per movie that closed while the event stream drained."""
+    stats = stream_rolling.windowed_stream(_timed_events(_event_stream(spark, sf_dir)), "movie_id", "1 day")
+    closed, _ = stream_rolling.drain_windows(stats)
+    return _rounded(closed, "avg_rating", "rating_stddev", digits=10)
+
+
+def _streamed_totals(spark, stream, key, name):
+    path = new_path(spark, name)
+    timed = stream.withColumn("timestamp", F.unix_micros("ts")).drop("ts")
+    stream_rolling.running_totals(timed, key, path).awaitTermination()
+    return stream_rolling.online_table(spark, path, key)
+
+
+@query
+def stream_movie_totals(spark, sf_dir):
+    totals = _streamed_totals(spark, _timed_events(_event_stream(spark, sf_dir)), "movie_id", "movie-totals")
+    return _rounded(totals, "avg_rating", "rating_stddev", digits=10)
+
+
+@query
+def stream_genre_affinity(spark, sf_dir):
+    """Genre affinity kept up to date by the event stream: totals per user and genre, shares when read."""
+    stream = rolling.genre_events(_timed_events(_event_stream(spark, sf_dir)), views.movies(spark, sf_dir))
+    totals = _streamed_totals(spark, stream, ["user_id", "genre"], "genre-totals")
+    return _rounded(rolling.with_share(totals).drop("rating_stddev", "event_timestamp"), "avg_rating", "share", digits=9)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,7 +13,7 @@ from tastelake.session import new_path
 PROGRESS_KEPT = 1_000_000
 
 
-def windowed_stream(events: DataFrame, key: str, width: str = "1 hour", slide: str | None = None,
+def windowed_stream(events: DataFrame, key: str | Sequence[str], width: str = "1 hour", slide: str | None = None,
                     lateness: str = rolling.LATENESS, ts: str = "ts") -> DataFrame:
     """Windowed statistics of a stream; rows later than the watermark are dropped."""
     return rolling.windowed_stats(events.withWatermark(ts, lateness), key, width, slide, ts)
@@ -43,8 +45,8 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
-def running_totals(events: DataFrame, key: str, path: str) -> StreamingQuery:
-    """Totals per key; each batch appends the totals that changed, in a folder of its own."""
+def running_totals(events: DataFrame, key: str | Sequence[str], path: str) -> StreamingQuery:
+    """Totals per key (or keys); each batch appends the totals that changed, in a folder of its own."""
     def append(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -52,6 +54,6 @@ def running_totals(events: DataFrame, key: str, path: str) -> StreamingQuery:
             .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start())
 
 
-def online_table(spark: SparkSession, path: str, key: str) -> DataFrame:
+def online_table(spark: SparkSession, path: str, key: str | Sequence[str]) -> DataFrame:
     """Current totals: the last appended row per key. Rewriting the result compacts the table."""
-    return lookup.latest_per_key(spark.read.parquet(path), [key], "batch_id", "event_timestamp").drop("batch_id")
+    return lookup.latest_per_key(spark.read.parquet(path), [key] if isinstance(key, str) else list(key), "batch_id", "event_timestamp").drop("batch_id")

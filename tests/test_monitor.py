@@ -60,3 +60,13 @@ def test_genre_affinity(spark, ratings, movies):
     got = {(r[0], r[1]): r[2:] for r in rows(rolling.genre_affinity(ratings, movies))}
     assert got[(1, "Comedy")] == (2, 4.0, 0.4)
     assert got[(3, "(no genres listed)")] == (1, 3.0, pytest.approx(1 / 3))
+
+
+def test_quantile_series_looks_back_some_minutes(spark):
+    data = [(5, "a", 0.5), (10, "a", 1.5), (65, "a", 1.5), (400, "a", 9.0), (70, "b", None), (None, "b", 0.1)]
+    log = spark.createDataFrame(data, "s long, endpoint string, v double").withColumn("ts", F.timestamp_seconds("s"))
+    one = rows(monitor.quantile_series(log, "v", (1.0, 2.0), [0.5], ["endpoint"]), "endpoint", "minute", "n", "value")
+    assert one == [("a", 0, 2, 1.0), ("a", 60, 1, 1.5), ("a", 360, 1, 2.0)]
+    three = rows(monitor.quantile_series(log, "v", (1.0, 2.0), [0.5], [], 3), "minute", "n", "value")
+    assert three == [(0, 2, 1.0), (60, 3, 1.25), (120, 3, 1.25), (180, 1, 1.5), (360, 1, 2.0), (420, 1, 2.0), (480, 1, 2.0)]
+    assert monitor.quantile_series(log.limit(0), "v", (1.0, 2.0), [0.5]).count() == 0

@@ -110,6 +110,20 @@ def test_running_totals_equal_the_batch(spark, inbox, tmp_path, ratings):
     assert rows(online, *cols) == rows(rolling.running_stats(ratings, "user_id"), *cols)
 
 
+def test_totals_of_two_keys(spark, inbox, tmp_path, ratings):
+    folder, put = inbox
+    data = [r.asDict() for r in ratings.collect()]
+    for i in range(0, 10, 3):
+        put(str(i), *data[i:i + 3])
+    movies = spark.createDataFrame([(m, "x|y" if m % 2 else "y") for m in sorted({r["movie_id"] for r in data})], "movie_id long, genres string")
+    source = spark.readStream.schema(ratings.schema).option("maxFilesPerTrigger", 1).json(folder)
+    path = str(tmp_path / "affinity")
+    stream_rolling.running_totals(rolling.genre_events(source, movies), ["user_id", "genre"], path).awaitTermination()
+    cols = ["user_id", "genre", "rating_count", "avg_rating", "share"]
+    got = rolling.with_share(stream_rolling.online_table(spark, path, ["user_id", "genre"]))
+    assert rows(got, *cols) == rows(rolling.genre_affinity(ratings, movies), *cols)
+
+
 def test_replay_in_time_order(spark, ratings, tmp_path):
     path = str(tmp_path / "events")
     assert replay.write_replay(ratings.orderBy(F.desc("timestamp")), path, max_events=7, chunks=3) == 7
