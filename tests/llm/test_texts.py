@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 import struct
 
 import numpy as np
@@ -72,6 +73,20 @@ def test_chat_round_trip(spark):
         assert r["blocks"] - 1 == sum(i == 0 or want[i - 1][0] != want[i][0] for i in range(len(want)))
 
 
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 700, 20_000])
+def test_chat_of_many_turns(spark, n):
+    """Sums over chunks of turns and spans over blocks of text; 20,000 turns took 25 s when each turn copied those before."""
+    df = spark.range(n).selectExpr("1L conv_id", "id turn", "IF(id % 3 = 0, 'user', 'assistant') role", "concat('é<', id, repeat('x', int(id % 1500 = 7) * 3000)) text")
+    started = time.time()
+    r = chat.format_conversations(df).select(chat.parse(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+                                             "formatted", "loss_spans").first()
+    assert time.time() - started < 20
+    want = [("assistant" if i % 3 else "user", f"é<{i}" + "x" * 3000 * (i % 1500 == 7)) for i in range(n)]
+    assert [tuple(t) for t in r["turns"]] == want
+    assert r["loss"] == "".join(text for role, text in want if role == "assistant")
+    assert [r["formatted"][s:s + k].replace("\\l", "<") for s, k in r["loss_spans"]] == [text for role, text in want if role == "assistant"]
+
+
 def test_chat_rows_without_a_conversation(spark):
     df = spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a"), (5, None, "user", "b"), (5, 0, "assistant", "c")],
                                "conv_id long, turn long, role string, text string")
