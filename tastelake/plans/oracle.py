@@ -332,6 +332,7 @@ SELECT *, round((pos + 1) / 100.0::DOUBLE, 6) AS emit_offset_s FROM o"""
     q["chronological_head"] = f"""WITH {RATINGS}
 SELECT {plain} FROM ratings ORDER BY {order} LIMIT {HEAD_EVENTS}"""
     q["stream_replay"] = f"""WITH {RATINGS} SELECT 'rating' AS event_type, {plain}, {datetime} AS "datetime" FROM ratings"""
+    q["stream_replay_order"] = f"""WITH {RATINGS} SELECT row_number() OVER (ORDER BY {order}) - 1 AS arrival, {plain} FROM ratings"""
     q["ingest_outcomes"] = f"""WITH {CHECKED}
 SELECT "timestamp" // 3600 * 3600 AS window_start,
   CASE event_type WHEN 'purchase' THEN 'logged' WHEN 'error' THEN 'failed' ELSE 'published' END AS status, count(*) AS n
@@ -394,4 +395,14 @@ FROM (SELECT movie_id, rating AS r, ts FROM {VALID}) GROUP BY movie_id"""
   SELECT user_id, rating, unnest(string_split(genres, '|')) AS genre FROM {VALID} AS v JOIN movies USING (movie_id))
 SELECT user_id, genre, count(*) AS rating_count, round(avg(rating), 9) AS avg_rating,
   round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 9) AS share FROM t GROUP BY user_id, genre"""
+    parted = f"""WITH {CHECKED},
+span AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events),
+came AS (SELECT CAST((CAST(ts AS DATE) - lo) * 4 // (hi - lo + 1) + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS batch_id,
+    epoch_us(ts) AS ts_us, user_id, movie_id, rating FROM checked, span WHERE reasons = ''),
+marks AS (SELECT c.batch_id, (SELECT max(ts_us) FROM came WHERE came.batch_id < c.batch_id) - 3600000000 AS watermark_us FROM range(5) AS c(batch_id)),
+parted AS (SELECT came.*, watermark_us, coalesce((ts_us // 86400000000 + 1) * 86400000000 <= watermark_us, false) AS late
+  FROM came JOIN marks USING (batch_id))"""
+    q["stream_late_rows"] = f"""{parted} SELECT batch_id, ts_us, user_id, movie_id, rating FROM parted WHERE late"""
+    q["stream_late_metrics"] = f"""{parted} SELECT m.batch_id, count(p.ts_us) AS n_rows, count(p.ts_us) FILTER (late) AS n_late, m.watermark_us
+FROM marks AS m LEFT JOIN parted AS p USING (batch_id) GROUP BY ALL"""
     return q

@@ -495,6 +495,22 @@ def stream_replay(spark, sf_dir):
     return spark.read.parquet(f"{root}/valid").select("event_type", "user_id", "movie_id", "rating", "timestamp", "datetime")
 
 
+@query
+def stream_replay_order(spark, sf_dir):
+    """The order in which an ordered replay delivers all ratings."""
+    path = new_path(spark, "ordered")
+    replay.write_ordered_replay(_plain_ratings(spark, sf_dir), path, chunks=4)
+
+    def deliver(rows, chunk):
+        came = rows.select(F.monotonically_increasing_id().alias("came"), "value")
+        came.write.mode("overwrite").parquet(f"{path}/delivered/chunk={chunk}")
+
+    replay.play_ordered(spark, path, deliver, f"{path}/checkpoint").awaitTermination()
+    delivered = events.parse_events(spark.read.parquet(f"{path}/delivered"))
+    placed = chronology.global_positions(delivered, ["chunk", "came"], "arrival")
+    return placed.select("arrival", "user_id", "movie_id", "rating", "timestamp")
+
+
 @query
 def ingest_outcomes(spark, sf_dir):
     """Outcome of valid events per hour; purchases stand for the time the broker was away, errors for sends it refused."""
@@ -656,3 +672,33 @@ def stream_genre_affinity(spark, sf_dir):
     stream = rolling.genre_events(_timed_events(_event_stream(spark, sf_dir)), views.movies(spark, sf_dir))
     totals = _streamed_totals(spark, stream, ["user_id", "genre"], "genre-totals")
     return _rounded(rolling.with_share(totals).drop("rating_stddev", "event_timestamp"), "avg_rating", "share", digits=9)
+
+
+def _parted(spark, sf_dir) -> str:
+    """The ratings among the events in time order, every seventh a quarter of the time late, parted by day windows."""
+    all_events = views.table(spark, sf_dir, "events")
+    day = F.unix_date(F.col("ts").cast("date"))
+    first, last = all_events.agg(F.min(day), F.max(day)).first()
+    quarter = F.floor((day - first) * 4 / (last - first + 1))
+    arrives = (quarter + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("arrives")
+    rows = materialise(all_events.select("*", arrives), "arrivals")
+    inbox, root = new_path(spark, "inbox"), new_path(spark, "parted")
+    for chunk in range(5):
+        rows.filter(F.col("arrives") == chunk).write.mode("append").parquet(inbox)
+        timed = _timed_events(spark.readStream.schema(rows.schema).parquet(inbox))
+        stream_rolling.part_late(timed, root, width=86_400).awaitTermination()
+    return root
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Rows whose day had ended at the watermark when they came, with their batch."""
+    late = spark.read.parquet(f"{_parted(spark, sf_dir)}/late")
+    return late.select(F.col("batch_id").cast("long").alias("batch_id"), F.unix_micros("ts").alias("ts_us"), "user_id", "movie_id", "rating")
+
+
+@query
+def stream_late_metrics(spark, sf_dir):
+    """Per batch: rows, late rows and the watermark."""
+    found = spark.read.parquet(f"{_parted(spark, sf_dir)}/metrics")
+    return found.select(F.col("batch_id").cast("long").alias("batch_id"), "n_rows", "n_late", F.col("watermark").alias("watermark_us"))

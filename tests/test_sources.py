@@ -5,7 +5,7 @@ from tastelake import schemas
 from tastelake.operators import lookup
 from tastelake.plans import feature_generation, training
 from tastelake.session import materialise, shared_folder
-from tastelake.sources import catalog, events, runs, tables
+from tastelake.sources import catalog, events, runs, tables, versions
 from tests.conftest import rows
 
 
@@ -36,10 +36,51 @@ def test_feature_tables_keep_earlier_snapshots(spark, ratings, movies, tmp_path)
         assert newest.count() == n and newest.filter("as_of <> '1970-01-03'").count() == 0
     latest = lookup.latest_per_key(tables.read_features(spark, root, catalog.USER_STATS, all_dates=True), ["user_id"])
     assert latest.count() == 3 and latest.filter("as_of <> '1970-01-03'").count() == 0
-    online = spark.read.parquet(tables.write_online(spark, root, catalog.MOVIE_STATS, str(tmp_path / "online")))
+    tables.write_online(spark, root, catalog.MOVIE_STATS, str(tmp_path / "online"))
+    online = tables.read_online(spark, str(tmp_path / "online"), catalog.MOVIE_STATS)
     assert online.count() == 4 and rows(online.select(F.unix_seconds("event_timestamp")).distinct()) == [(2 * 86_400 + 5,)]
 
 
+def test_a_table_is_replaced_as_a_whole(spark, tmp_path):
+    path, df = str(tmp_path / "t"), lambda v: spark.range(5).selectExpr("id", f"{v} v")
+    read = lambda: versions.read_version(spark, path, df(0).schema)
+    assert read().count() == 0
+    assert versions.write_version(df(1), path) == 0
+    old = read()
+    broken = df(2).withColumn("v", F.when(F.col("id") == 4, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        versions.write_version(broken, path)
+    assert rows(read(), "v") == [(1,)] * 5
+    df(3).write.parquet(f"{path}/slot-1", mode="overwrite")  # rows complete, the writer ended before the mark
+    assert rows(read(), "v") == [(1,)] * 5
+    versions.write_version(df(4), path)
+    versions.write_version(read().withColumn("v", F.col("v") + 1), path)
+    assert rows(old, "v") == [(1,)] * 5 and rows(read(), "v") == [(5,)] * 5  # a reader keeps its version
+    for v in range(6, 12):
+        versions.write_version(df(v), path)
+    assert rows(read(), "v") == [(11,)] * 5 and len(list((tmp_path / "t").iterdir())) == 2 * versions.SLOTS
+    assert versions.write_version(df(99), path, version=3) == 3 and rows(read(), "v") == [(11,)] * 5
+
+
+def test_snapshots_are_replaced_as_a_whole(spark, tmp_path):
+    view, root = catalog.USER_STATS, str(tmp_path)
+    stats = lambda days, mean: spark.createDataFrame([(1, d * 86_400, mean) for d in days], "user_id long, s long, avg_rating double").select(
+        "user_id", "avg_rating", F.timestamp_seconds("s").alias("event_timestamp"), *[F.lit(None).alias(c) for c in view.schema.names if c not in (
+            "user_id", "avg_rating", "event_timestamp")])
+    seen = lambda: rows(tables.read_features(spark, root, view, all_dates=True), "as_of", "avg_rating")
+    tables.write_features(stats([1, 2], 1.0), root, view)
+    first, old = seen(), tables.read_features(spark, root, view)
+    broken = stats([1, 2], 2.0).withColumn("avg_rating", F.when(F.dayofmonth("event_timestamp") == 3, F.raise_error(F.lit("lost")).cast("double")).otherwise(2.0))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_features(broken, root, view)
+    assert seen() == first
+    for mean in (2.0, 3.0):
+        tables.write_features(stats([2], mean), root, view)
+        assert [m for _, m in seen()] == [1.0, mean] and rows(old, "avg_rating") == [(1.0,)]
+    tables.write_features(stats([], 0.0), root, view)
+    assert [m for _, m in seen()] == [1.0, 3.0]
+
+
 def test_catalog(spark):
     views = {r["name"]: r for r in catalog.list_views(spark, "/x").collect()}
     assert set(views) == {"user_stats", "movie_stats", "interactions"}

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastelake.operators import rolling
+from tastelake.sources import versions
 from tastelake.streaming import ingest, replay, rolling as stream_rolling
 from tests.conftest import rows
 
@@ -155,3 +156,72 @@ def test_late_rows_of_all_batches_are_counted(spark, inbox):
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     assert late == 3  # a batch drops what is behind the watermark of the batch before the last
+
+
+def test_totals_are_compacted(spark, inbox, tmp_path):
+    """The table takes as many folders after many batches as after a few, and a replayed batch changes nothing."""
+    folder, put = inbox
+    schema, path = "user_id long, rating double, timestamp long", str(tmp_path / "totals")
+    events = []
+    for batch in range(9):
+        new = [{"user_id": 1 + (batch * 3 + i) % 4, "rating": 0.5 * (1 + batch % 5), "timestamp": batch * 10 + i} for i in range(3)]
+        events += new
+        put(f"{batch}.json", *new)
+        source = spark.readStream.schema(schema).json(folder)
+        stream_rolling.running_totals(source, "user_id", path, compact_every=2).awaitTermination()
+        if batch in (0, 1, 4, 8):
+            cols = ["user_id", "rating_count", "avg_rating", "rating_stddev", "event_timestamp"]
+            now = stream_rolling.online_table(spark, path, "user_id", compact_every=2)
+            want = rolling.running_stats(spark.createDataFrame(events, schema), "user_id")
+            rounded = lambda df: df.withColumn("rating_stddev", F.round("rating_stddev", 9))
+            assert rows(rounded(now), *cols) == rows(rounded(want), *cols)
+    names = sorted(p.name for p in (tmp_path / "totals").iterdir())
+    assert names == ["base", "batch-0", "batch-1", "batch-2", "batch-3"]
+    assert len(list((tmp_path / "totals" / "base").iterdir())) == 2 * versions.SLOTS
+
+
+def test_late_rows_are_kept_beside(spark, inbox, tmp_path):
+    folder, put = inbox
+    root, source = str(tmp_path / "parted"), lambda: spark.readStream.schema("s long").json(folder)
+    timed = lambda: source().withColumn("ts", F.timestamp_seconds("s"))
+    for name, times in (("a", [100, 8000, None]), ("b", [3599, 3600, 5000, 20_000]), ("c", [7199, 12_000, 16_399, 16_400])):
+        put(f"{name}.json", *[{"s": t} for t in times])
+        stream_rolling.part_late(timed(), root, width=3600).awaitTermination()
+    late = spark.read.parquet(f"{root}/late")
+    assert rows(late, "batch_id", "s") == [(0, None), (1, 3599), (2, 7199), (2, 12_000)]  # watermarks 4,400 and 16,400: windows up to 3,600 and 14,400 have ended
+    assert rows(spark.read.parquet(f"{root}/timely"), "s") == [(100,), (3600,), (5000,), (8000,), (16_399,), (16_400,), (20_000,)]
+    metrics = rows(spark.read.parquet(f"{root}/metrics"), "batch_id", "n_rows", "n_late", "watermark")
+    assert metrics == [(0, 3, 1, None), (1, 4, 1, 4400 * 10**6), (2, 4, 2, 16_400 * 10**6)]
+    assert len(list((tmp_path / "parted" / "watermark").iterdir())) == 2 * versions.SLOTS
+
+
+def test_late_by_their_own_time(spark, inbox, tmp_path):
+    folder, put = inbox
+    root = str(tmp_path / "parted")
+    for name, times in (("a", [10_000]), ("b", [6399, 6400, 6401])):
+        put(f"{name}.json", *[{"s": t} for t in times])
+        timed = spark.readStream.schema("s long").json(folder).withColumn("ts", F.timestamp_seconds("s"))
+        stream_rolling.part_late(timed, root).awaitTermination()
+    assert rows(spark.read.parquet(f"{root}/late"), "s") == [(6399,)]
+
+
+def test_ordered_replay(spark, ratings, tmp_path):
+    path, seen = str(tmp_path / "ordered"), []
+    shuffled = ratings.repartition(5, "movie_id")
+    assert replay.write_ordered_replay(shuffled, path, max_events=7, chunks=3) == 7
+
+    def deliver(df, chunk):
+        seen.append([json.loads(r["value"])["timestamp"] for r in df.collect()])
+
+    replay.play_ordered(spark, path, deliver, str(tmp_path / "checkpoint")).awaitTermination()
+    assert len(seen) == 3 and sum(seen, []) == [1_000_000 + 100 * i for i in range(7)]
+    replay.play_ordered(spark, path, deliver, str(tmp_path / "checkpoint")).awaitTermination()
+    assert len(seen) == 3  # nothing is delivered twice
+
+
+def test_a_missing_chunk_is_an_error(spark, ratings, tmp_path):
+    path = str(tmp_path / "ordered")
+    replay.write_ordered_replay(ratings, path, chunks=1)
+    spark.createDataFrame([("2",)], "value string").coalesce(1).write.mode("append").text(f"{path}/commits")
+    with pytest.raises(Exception, match="committed where 1 is due"):
+        replay.play_ordered(spark, path, lambda df, chunk: df.count(), str(tmp_path / "checkpoint")).awaitTermination()
