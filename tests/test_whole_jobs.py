@@ -35,3 +35,11 @@ def test_pair_predictions_of_all_events(spark, tables):
     squares = [(sum(x * y for x, y in zip(vec[u], vec[m])) + mean - r) ** 2 for u, m, r in pairs]
     got = queries.registry()["pair_predictions"](spark, tables).first()["rmse"]
     assert got == pytest.approx((sum(squares) / len(squares)) ** 0.5, abs=1e-6)
+
+
+def test_ranker_metrics_of_all_events(spark, tables):
+    got = queries.registry()["ranker_metrics"](spark, tables).toPandas()
+    assert compare(got, oracle_connection(tables).execute(oracle.sql()["ranker_metrics"]).df()) is None
+    # users' means 3.25 and 2.0; movies' means 2.5, 5.0 and 0.5; the movie 0 is unknown
+    gaps = [5.0 + 0.1 * (3.25 - 5.0) - 2.0, 2.5 + 0.1 * (2.0 - 2.5) - 9.0, 0.5 + 0.1 * (3.25 - 0.5) - 3.0]
+    assert got["mae"][0] == pytest.approx(sum(map(abs, gaps)) / 3, abs=1e-6)
