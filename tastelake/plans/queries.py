@@ -110,7 +110,7 @@ def feature_tables(spark, sf_dir):
 def lookup_after_two_snapshots(spark, sf_dir):
     """One row per customer from the newest of two snapshots."""
     root = new_path(spark, "snapshots")
-    r, m = _plain_ratings(spark, sf_dir), views.movies(spark, sf_dir)
+    r, m = materialise(_plain_ratings(spark, sf_dir), "ratings"), views.movies(spark, sf_dir)
     for as_of in (AS_OF - 86_400, AS_OF):
         feature_generation.generate_features(r, m, root, F.timestamp_seconds(F.lit(as_of)))
     found = lookup.batch_lookup(tables.read_features(spark, root, catalog.USER_STATS), views.users(spark, sf_dir), "user_id")

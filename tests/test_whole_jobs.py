@@ -43,3 +43,11 @@ def test_ranker_metrics_of_all_events(spark, tables):
     # users' means 3.25 and 2.0; movies' means 2.5, 5.0 and 0.5; the movie 0 is unknown
     gaps = [5.0 + 0.1 * (3.25 - 5.0) - 2.0, 2.5 + 0.1 * (2.0 - 2.5) - 9.0, 0.5 + 0.1 * (3.25 - 0.5) - 3.0]
     assert got["mae"][0] == pytest.approx(sum(map(abs, gaps)) / 3, abs=1e-6)
+
+
+def test_two_snapshots_share_one_table_of_ratings(spark, tables, monkeypatch):
+    plans, generate = [], queries.feature_generation.generate_features
+    monkeypatch.setattr(queries.feature_generation, "generate_features", lambda r, *a: (plans.append(r), generate(r, *a))[1])
+    got = queries.registry()["lookup_after_two_snapshots"](spark, tables).toPandas()
+    assert len(plans) == 2 and not any("Join" in p._jdf.queryExecution().analyzed().toString() for p in plans)
+    assert sorted(got["avg_rating"]) == [2.0, 3.25]
