@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tastelake.functions.columns import genre_tokens, sample_std
+from tastelake.session import dealt
 
 WEEK_SECONDS = 7 * 86_400
 LATENESS = "1 hour"
@@ -69,7 +70,12 @@ def with_share(totals: DataFrame) -> DataFrame:
 
 
 def genre_affinity(ratings: DataFrame, movies: DataFrame) -> DataFrame:
-    """Per user and genre: ratings, their mean and the share of the user's genre labels."""
-    per_genre = (genre_events(ratings.select("user_id", "movie_id", "rating"), movies)
+    """Per user and genre: ratings, their mean and the share of the user's genre labels.
+
+    The ratings are counted first, so pass a table and not a long plan.
+    """
+    n = ratings.count()
+    tagged = genre_events(dealt(ratings.select("user_id", "movie_id", "rating"), n, "movie_id"), movies)
+    per_genre = (dealt(tagged.select("user_id", "genre", "rating"), n, "user_id", "genre")
                  .groupBy("user_id", "genre").agg(F.count("rating").alias("rating_count"), F.avg("rating").alias("avg_rating")))
-    return with_share(per_genre)
+    return with_share(dealt(per_genre, n, "user_id"))

@@ -603,7 +603,8 @@ def rolling_7d_avg(spark, sf_dir):
 
 @query
 def genre_affinity(spark, sf_dir):
-    return _rounded(rolling.genre_affinity(views.ratings(spark, sf_dir), views.movies(spark, sf_dir)), "avg_rating", "share")
+    r = materialise(_plain_ratings(spark, sf_dir), "ratings")
+    return _rounded(rolling.genre_affinity(r, views.movies(spark, sf_dir)), "avg_rating", "share")
 
 
 def _timed_events(df: DataFrame) -> DataFrame:

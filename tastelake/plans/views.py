@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastelake.functions.columns import epoch_micros, epoch_seconds
+from tastelake.session import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,8 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rating per order line: user_id, movie_id, rating (0.5 to 5.0), timestamp, two tie-break keys."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    n = lines.count()  # from the file footers
+    lines, orders = dealt(lines, n, "l_orderkey"), dealt(orders, n, "o_orderkey")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         (F.col("o_custkey") + 1).alias("user_id"),
         (F.col("l_partkey") + 1).alias("movie_id"),
