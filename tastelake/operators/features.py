@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastelake.functions.columns import NO_GENRES, genre_tokens, sample_std
+from tastelake.session import dealt
 
 
 def rating_stats(ratings: DataFrame, key: str) -> DataFrame:
@@ -87,13 +88,14 @@ def monthly_history(ratings: DataFrame, key: str) -> DataFrame:
 
     The row of a month is stamped with the first second of the following month, so a row never
     describes ratings later than its own time. Ratings shrink to one row per (key, month) before
-    any window runs.
+    any window runs. They are counted first, so pass a table and not a long plan.
     """
-    monthly = ratings.groupBy(key, _month().alias("month")).agg(
+    rows = ratings.count()
+    monthly = dealt(ratings.select(key, _month().alias("month"), "rating"), rows, key, "month").groupBy(key, "month").agg(
         F.count("rating").alias("n"), F.sum("rating").alias("s"),
         F.sum(F.col("rating") * F.col("rating")).alias("ss"))
     variance = F.greatest((F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))
-    return _running(monthly, key, ["n", "s", "ss"]).select(
+    return _running(dealt(monthly, rows, key), key, ["n", "s", "ss"]).select(
         key, _month_start(F.col("month") + 1).alias("event_timestamp"),
         F.try_divide("s", "n").alias("avg_rating"),
         F.col("n").alias("rating_count"),
@@ -103,15 +105,20 @@ def monthly_history(ratings: DataFrame, key: str) -> DataFrame:
 
 def user_history(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     """Monthly user statistics with the number of genres seen so far."""
+    rows = ratings.count()
     stats = monthly_history(ratings, "user_id")
-    tagged = ratings.select("user_id", "movie_id", _month().alias("month")).join(
+    tagged = dealt(ratings.select("user_id", "movie_id", _month().alias("month")), rows, "movie_id").join(
         movies.select("movie_id", "genres"), "movie_id")
-    first_seen = (tagged.groupBy("user_id", "genres").agg(F.min("month").alias("month"))
-                  .select("user_id", "month", F.explode(genre_tokens("genres")).alias("genre"))
-                  .groupBy("user_id", "genre").agg(F.min("month").alias("month")))
-    new_genres = first_seen.groupBy("user_id", "month").agg(F.count("*").alias("unique_genres_rated"))
-    joined = stats.join(new_genres, ["user_id", "month"], "left").fillna(0, ["unique_genres_rated"])
-    return _running(joined, "user_id", ["unique_genres_rated"]).drop("month")
+    by_label = (dealt(tagged.select("user_id", "genres", "month"), rows, "user_id", "genres")
+                .groupBy("user_id", "genres").agg(F.min("month").alias("month"))
+                .select("user_id", "month", F.explode(genre_tokens("genres")).alias("genre")))
+    first_seen = dealt(by_label, rows, "user_id").groupBy("user_id", "genre").agg(F.min("month").alias("month"))
+    # one row per user, with at most a field per month
+    new_genres = (first_seen.groupBy("user_id", "month").agg(F.count("*").alias("n"))
+                  .groupBy("user_id").agg(F.collect_list(F.struct("month", "n")).alias("_new")))
+    so_far = F.aggregate(F.filter("_new", lambda g: g["month"] <= F.col("month")), F.lit(0).cast("long"), lambda s, g: s + g["n"])
+    return stats.join(new_genres, "user_id", "left").select(
+        *[c for c in stats.columns if c != "month"], F.coalesce(so_far, F.lit(0)).alias("unique_genres_rated"))
 
 
 def movie_history(ratings: DataFrame, movies: DataFrame) -> DataFrame:

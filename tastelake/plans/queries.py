@@ -70,7 +70,7 @@ def interactions(spark, sf_dir):
 
 @query
 def user_stats_history(spark, sf_dir):
-    df = features.user_history(views.ratings(spark, sf_dir), views.movies(spark, sf_dir))
+    df = features.user_history(materialise(_plain_ratings(spark, sf_dir), "ratings"), views.movies(spark, sf_dir))
     return _rounded(df, "avg_rating", "rating_stddev")
 
 
@@ -203,14 +203,14 @@ def batch_lookup(spark, sf_dir):
 
 @query
 def materialise_latest(spark, sf_dir):
-    history = features.movie_history(views.ratings(spark, sf_dir), views.movies(spark, sf_dir))
+    history = features.movie_history(materialise(_plain_ratings(spark, sf_dir), "ratings"), views.movies(spark, sf_dir))
     return _rounded(lookup.latest_per_key(history, ["movie_id"]), "avg_rating", "rating_stddev")
 
 
 @query
 def online_offline_lookup(spark, sf_dir):
     """Online: latest history row of users active since 1999. Offline: statistics of all earlier ratings."""
-    r = views.ratings(spark, sf_dir)
+    r = materialise(_plain_ratings(spark, sf_dir), "ratings")
     recent = features.monthly_history(r.filter(F.col("timestamp") >= SNAPSHOT_FROM), "user_id").drop("month")
     online = lookup.latest_per_key(recent, ["user_id"])
     offline = features.rating_stats(r.filter(F.col("timestamp") < SNAPSHOT_FROM), "user_id")

@@ -38,3 +38,11 @@ def test_dealt(spark, monkeypatch):
 def test_genre_affinity_of_many_rows(monkeypatch, many, movies):
     few, dealt = both(monkeypatch, lambda: rolling.genre_affinity(many, movies), 24)
     assert few == dealt and len(few) > 10
+
+
+def test_histories_of_many_rows(monkeypatch, many, movies):
+    few, dealt = both(monkeypatch, lambda: features.user_history(many, movies), 24)
+    assert few == dealt and max(r[-1] for r in few) == 4  # genres seen so far
+    monkeypatch.setattr(session, "TASK_ROWS", 250_000)
+    few, dealt = both(monkeypatch, lambda: features.movie_history(many, movies), 24)
+    assert few == dealt
