@@ -46,3 +46,16 @@ def test_histories_of_many_rows(monkeypatch, many, movies):
     monkeypatch.setattr(session, "TASK_ROWS", 250_000)
     few, dealt = both(monkeypatch, lambda: features.movie_history(many, movies), 24)
     assert few == dealt
+
+
+def test_training_set_of_many_rows(monkeypatch, many, movies):
+    def training_set():
+        return training.training_set(many, training.history_sources(many, movies))
+
+    held = []
+    monkeypatch.setattr(pit, "dealt", lambda df, n, *keys: (held.append((n, keys)), session.dealt(df, n, *keys))[1])
+    few = rows(training_set())
+    monkeypatch.setattr(session, "TASK_ROWS", 2)
+    assert few == rows(training_set()) and len(few) == 48
+    assert [keys for _, keys in held] == 2 * [("user_id",), ("movie_id",), ("user_id", "movie_id")]
+    assert all(n > 48 for n, _ in held)  # entity and feature rows
