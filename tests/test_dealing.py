@@ -1,10 +1,12 @@
 """Large inputs are dealt over tasks by their rows: the results are those of the plan for small ones."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tastelake import session
-from tastelake.operators import features, pit, rolling
+from tastelake.operators import features, pit, ranking, rolling
 from tastelake.plans import training
+from tastelake.streaming import replay
 from tests.conftest import rows
 
 MONTH = 30 * 86_400
@@ -59,3 +61,31 @@ def test_training_set_of_many_rows(monkeypatch, many, movies):
     assert few == rows(training_set()) and len(few) == 48
     assert [keys for _, keys in held] == 2 * [("user_id",), ("movie_id",), ("user_id", "movie_id")]
     assert all(n > 48 for n, _ in held)  # entity and feature rows
+
+
+def test_ordered_replay_moves_rows_before_they_become_lines(spark, monkeypatch, many, tmp_path):
+    plans, seen, path = [], [], str(tmp_path / "ordered")
+    as_lines = replay.events.to_event_json
+    monkeypatch.setattr(replay.events, "to_event_json", lambda df: (plans.append(df), as_lines(df))[1])
+
+    def deliver(df, chunk):
+        plans.append(df)
+        seen.extend(r["pos"] for r in df.collect())
+
+    monkeypatch.setattr(session, "TASK_ROWS", 2)
+    total = replay.write_ordered_replay(many, path, chunks=3)
+    replay.play_ordered(spark, path, deliver, str(tmp_path / "checkpoint")).awaitTermination()
+    assert total == many.filter("timestamp IS NOT NULL").count() and seen == list(range(total))
+    # the borders are computed, so no pass samples them; 46 rows are placed in 23 tasks, those of a chunk in 8
+    texts = [p._jdf.queryExecution().optimizedPlan().toString() for p in plans]
+    assert len(plans) == 4 and not any("RepartitionByExpression [pos" in t for t in texts)
+    assert [p.rdd.getNumPartitions() for p in plans] == [23, 8, 8, 8]
+
+
+def test_ranker_rows_of_a_task_do_not_grow(spark, monkeypatch):
+    df = spark.range(60).select((F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias(ranking.LABEL))
+    tasks = []
+    monkeypatch.setattr(ranking, "dealt", lambda *a: (tasks.append(session.dealt(*a)), tasks[-1])[1])
+    monkeypatch.setattr(session, "TASK_ROWS", 5)
+    assert ranking.Ranker(num_rounds=1).fit(df, df, ["a"]).predict(df).count() == 60
+    assert [t.rdd.getNumPartitions() for t in tasks] == [12, 12]
