@@ -89,3 +89,15 @@ def test_ranker_rows_of_a_task_do_not_grow(spark, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 5)
     assert ranking.Ranker(num_rounds=1).fit(df, df, ["a"]).predict(df).count() == 60
     assert [t.rdd.getNumPartitions() for t in tasks] == [12, 12]
+
+
+def test_a_table_leaves_no_shuffle_files(spark):
+    """They stayed until the driver's garbage was collected, beside those of the steps that follow."""
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(session.CLEANUP_CONF, None)
+    table = session.materialise(spark.range(5_000).groupBy((F.col("id") % 700).alias("k")).agg(F.sum("id").alias("s")), "sums")
+    assert not files() - before and table.count() == 700
+    assert spark.conf.get(session.CLEANUP_CONF, None) == setting
