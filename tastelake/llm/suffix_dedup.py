@@ -19,13 +19,17 @@ BUCKET_BYTES = 16 << 20     # text per bucket of anchors
 FLUSH_RECORDS = 1_000_000   # anchors a task holds before it sends them
 HOT_CONTEXTS = 64           # an anchor with more surroundings than this in one flush is sent once
 FLUSH_WINDOWS = 200_000
+FLUSH_BYTES = 4 << 20       # text of open ranges a task holds before it sends it
+MEET_WINDOWS = 100_000      # about as many windows of ranges are cut out at once
+WIDE_GROUP = 50_000         # open windows of one anchor that meet as text at most; those of more are dealt one by one
 SORT_WINDOWS = 4_000        # about as many suffixes are sorted at once
 SEVERAL = 255
 FILTER_WORDS = 1 << 20      # 64-bit words of the bitmap of doc_ids with several texts
 DEPTHS = (4, 9)             # bytes beside an anchor that short hashes cover, besides half the rest of a window
 _WINDOW_BASE = 0xC2B2AE3D27D4EB4F
 
-SPAN = "doc_id long, variant long, kind int, start long, end long"
+SPAN = "doc_id long, variant long, kind int, start long, end long, key long"
+ALONE = -1                  # key of an open range whose windows are dealt one by one
 REMOVED, OPEN = 0, 1
 
 
@@ -170,18 +174,20 @@ def open_ranges(x: dict[str, np.ndarray], chosen: np.ndarray, whole: np.ndarray,
     begin = np.where(everything, start, np.maximum(start, p - reach("left")))
     stop = np.where(everything, end, np.minimum(end, p - (rest - reach("right")) + 1))
     keep = begin < stop
-    return x["doc"][i][keep], x["variant"][i][keep], begin[keep], stop[keep]
+    return x["doc"][i][keep], x["variant"][i][keep], begin[keep], stop[keep], group[keep]
 
 
-def _rows(kind: int, doc, variant, start, end) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": doc, "variant": variant.astype(np.int64), "kind": np.full(len(doc), kind, np.int32), "start": start, "end": end})
+def _rows(kind: int, doc, variant, start, end, key=ALONE) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": doc, "variant": variant.astype(np.int64), "kind": np.full(len(doc), kind, np.int32), "start": start, "end": end,
+                         "key": np.broadcast_to(np.int64(key), len(doc))})
 
 
 def anchor_spans(docs: DataFrame, window: int, gram: int, n_buckets: int) -> DataFrame:
     """Spans to remove that whole surroundings of anchors prove (kind 0), and ranges of windows still open (kind 1).
 
     A task sends each surroundings once, with its smallest document; later ones of its own texts are settled at once. Of an
-    anchor with many surroundings it sends one record and leaves the others open, so no anchor fills a bucket.
+    anchor with many surroundings it sends one record and leaves the others open, so no anchor fills a bucket. The open ranges of any other anchor
+    have its number as their key: equal windows select the same anchor, so they have the same key.
     """
     bits = np.uint64(n_buckets)
     sides = [f"{side}{d}" for side in ("left", "right") for d in (*DEPTHS, (window - gram) // 2)]
@@ -245,7 +251,9 @@ def anchor_spans(docs: DataFrame, window: int, gram: int, n_buckets: int) -> Dat
             hot = np.bincount(x["group"], x["hot"])[x["group"]] > 0
             later = x["later"] & ~x["hot"]  # a flagged record is open already
             out.append(_rows(REMOVED, *_spans(x, later, window - 1).values()))
-            out.append(_rows(OPEN, *open_ranges(x, ~later & ~x["hot"] & ((x["n_ctx"] > 1) | hot), hot, window, gram)))
+            *ranges, group = open_ranges(x, ~later & ~x["hot"] & ((x["n_ctx"] > 1) | hot), hot, window, gram)
+            spread = (np.bincount(x["group"], x["hot"]) > 0) | (np.bincount(group, ranges[3] - ranges[2], x["group"][-1] + 1) > WIDE_GROUP)
+            out.append(_rows(OPEN, *ranges, np.where(spread[group], ALONE, group * n_buckets + frame["bucket"].iloc[0])))
         return pd.concat(out, ignore_index=True)
 
     sent = docs.select("doc_id", "variant", "text").mapInArrow(send, "bucket long, blob binary")
@@ -315,17 +323,18 @@ class Suffixes:
         return out
 
 
-def window_spans(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
-    """Spans to remove among the open windows.
+def sent_windows(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
+    """The open windows as packed rows (bucket, blob).
 
-    :param texts: doc_id, variant, text, ranges (array of start, end).
+    :param texts: doc_id, variant, text, ranges (array of start, end, key).
 
-    Windows are dealt by the hash of all their bytes, so only equal ones meet, and each task sends one of equal ones with its
-    smallest document. A bucket sorts those suffixes whose hash is not alone and compares neighbours.
+    Ranges with a key go to its bucket as text, so neighbouring windows share their bytes. Windows of the others are dealt by the hash of all
+    their bytes, and each task sends one of equal ones with its smallest document.
     """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(_WINDOW_BASE)
         held: list[dict[str, np.ndarray]] = []
+        ranges_held: list[dict[str, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
             x = joined(held)
@@ -348,7 +357,20 @@ def window_spans(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
             blobs.append(pack({f"d_{k}": v for k, v in done.items()}))
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-        size = 0
+        def flush_ranges() -> pa.RecordBatch:
+            x = joined(ranges_held)
+            ranges_held.clear()
+            text, length = x.pop("text"), x["r"] + np.int64(window - 1)
+            begin, bucket = np.cumsum(length) - length, x["key"] % n_buckets
+            order = np.argsort(bucket, kind="stable")
+            names, starts = np.unique(bucket[order], return_index=True)
+            blobs = []
+            for i in np.split(order, starts[1:]):
+                blobs.append(pack({"key": x["key"][i] // n_buckets, "doc": np.diff(x["doc"][i], prepend=0), "variant": x["variant"][i], "s": x["s"][i], "r": x["r"][i],
+                                   "text": text[_indexes(begin[i], length[i])]}))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+        size = text_size = 0
         for batch in batches:
             ids, variants = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             ranges = batch.column(3)
@@ -356,65 +378,114 @@ def window_spans(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
                 mine = ranges.slice(i, j - i)
                 count = np.array([len(x) for x in mine], np.int64)
                 flat = mine.flatten()
-                low = flat.field(0).to_numpy(zero_copy_only=False)
-                length = flat.field(1).to_numpy(zero_copy_only=False) - low
-                row = np.repeat(np.repeat(np.arange(j - i), count), length)
-                s = np.repeat(low, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                low, high, key = (flat.field(f).to_numpy(zero_copy_only=False) for f in range(3))
+                row = np.repeat(np.arange(j - i), count)
+                met = np.flatnonzero(key != ALONE)
+                if len(met):
+                    r = row[met]
+                    text = buf[_indexes(offsets[r] + low[met], high[met] - low[met] + window - 1)]
+                    ranges_held.append({"key": key[met], "doc": ids[i:j][r].astype(np.int64), "variant": variants[i:j][r].astype(np.int64),
+                                        "s": low[met].astype(np.int32), "r": (high - low)[met].astype(np.int32), "text": text})
+                    text_size += len(text)
+                    if text_size >= FLUSH_BYTES:
+                        yield flush_ranges()
+                        text_size = 0
+                row, low, high = (x[key == ALONE] for x in (row, low, high))
+                row, s = np.repeat(row, high - low), _indexes(low, high - low)
+                if not len(s):
+                    continue
                 prefix = powers.prefixes(buf)
                 for a in range(0, len(s), FLUSH_WINDOWS):
                     r, start = row[a:a + FLUSH_WINDOWS], s[a:a + FLUSH_WINDOWS]
                     at = offsets[r] + start
                     held.append({"hash": powers.between(prefix, at, at + window), "doc": ids[i:j][r].astype(np.int64),
                                  "variant": variants[i:j][r].astype(np.int64), "s": start.astype(np.int32),
-                                 "bytes": buf[at[:, None] + np.arange(window)]})
+                                 "bytes": np.lib.stride_tricks.sliding_window_view(buf, window)[at]})
                     size += len(r)
                     if size >= FLUSH_WINDOWS:
                         yield flush()
                         size = 0
         if held:
             yield flush()
+        if ranges_held:
+            yield flush_ranges()
+
+    return texts.select("doc_id", "variant", "text", "ranges").mapInArrow(send, "bucket long, blob binary")
+
+
+def _indexes(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every run, one after another."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+def _cut_out(x: dict[str, np.ndarray], window: int) -> Iterator[dict[str, np.ndarray]]:
+    """The windows of ranges that came as text, by whole keys and about MEET_WINDOWS at once."""
+    powers = Powers(_WINDOW_BASE)
+    text, length = x.pop("text"), x["r"] + np.int64(window - 1)
+    x["at"] = np.cumsum(length) - length
+    order = np.argsort(x["key"], kind="stable")
+    x = {k: v[order] for k, v in x.items()}
+    new = np.concatenate([[True], x["key"][1:] != x["key"][:-1]])
+    before = np.cumsum(x["r"], dtype=np.int64) - x["r"]
+    part = before[np.flatnonzero(new)[np.cumsum(new) - 1]] // MEET_WINDOWS  # the same for all ranges of a key
+    for i in np.split(np.arange(len(part)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+        r = x["r"][i].astype(np.int64)
+        own = text[_indexes(x["at"][i], r + window - 1)]
+        at = _indexes(np.cumsum(r + window - 1) - (r + window - 1), r)
+        yield {"hash": powers.between(powers.prefixes(own), at, at + window), "doc": np.repeat(x["doc"][i], r), "variant": np.repeat(x["variant"][i], r),
+               "s": _indexes(x["s"][i].astype(np.int64), r).astype(np.int32), "bytes": np.lib.stride_tricks.sliding_window_view(own, window)[at]}
+
+
+def _later_windows(x: dict[str, np.ndarray], window: int) -> pd.DataFrame:
+    """Spans of the windows that stand in a smaller document too. Suffixes whose hash is not alone are sorted, and neighbours compared as bytes."""
+    order = np.argsort(x["hash"], kind="stable")
+    same = x["hash"][order][1:] == x["hash"][order][:-1]
+    twice = np.zeros(len(order), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    order = order[twice]
+    if not len(order):  # no window stands twice
+        return _rows(REMOVED, *np.zeros((4, 0), np.int64))
+    x = {k: v[order] for k, v in x.items()}
+    new = np.concatenate([[True], x["hash"][1:] != x["hash"][:-1]])
+    begins, group = np.flatnonzero(new), np.cumsum(new) - 1
+    # one suffix per hash is sorted, and those that have its hash but not its bytes
+    odd = ~new & (x["bytes"] != x["bytes"][begins[group]]).any(axis=1)
+    part = (group // SORT_WINDOWS).astype(np.int64)
+    later = [np.zeros(0, np.int64)]
+    for k in range(part[-1] + 1):
+        lo, hi = np.searchsorted(part, [k, k + 1])
+        sorted_ = lo + np.flatnonzero(new[lo:hi] | odd[lo:hi])
+        kinds = Suffixes(x["bytes"][sorted_]).classes()
+        own = np.searchsorted(sorted_, np.where(odd[lo:hi], np.arange(lo, hi), begins[group[lo:hi]]))
+        kind, doc = kinds[own], x["doc"][lo:hi]
+        least = np.full(len(kinds), np.iinfo(np.int64).max)
+        np.minimum.at(least, kind, doc)
+        later.append(lo + np.flatnonzero(doc > least[kind]))
+    later = np.concatenate(later)
+    s = x["s"][later].astype(np.int64)
+    return _rows(REMOVED, *merged_spans(x["doc"][later], x["variant"][later], s, s + window).values())
+
 
+def window_spans(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
+    """Spans to remove among the open windows of :func:`sent_windows`; equal ones meet in a bucket."""
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        parts, out = [], []
+        windows, ranges, out = [], [], [_rows(REMOVED, *np.zeros((4, 0), np.int64))]
         for blob in frame["blob"]:
             x = unpack(blob)
             if "d_start" in x:
                 out.append(_rows(REMOVED, x["d_doc_id"], x["d_variant"], x["d_start"], x["d_end"]))
+            elif "text" in x:
+                ranges.append(x | {"doc": np.cumsum(x["doc"])})
             else:
-                parts.append(x | {"bytes": x["bytes"].reshape(-1, window)})
-        if parts:
-            x = joined(parts)
-            order = np.argsort(x["hash"], kind="stable")
-            same = x["hash"][order][1:] == x["hash"][order][:-1]
-            twice = np.zeros(len(order), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            order = order[twice]
-            if not len(order):  # no window of the bucket stands twice
-                return pd.concat(out, ignore_index=True) if out else _rows(REMOVED, *np.zeros((4, 0), np.int64))
-            x = {k: v[order] for k, v in x.items()}
-            new = np.concatenate([[True], x["hash"][1:] != x["hash"][:-1]])
-            begins, group = np.flatnonzero(new), np.cumsum(new) - 1
-            # one suffix per hash is sorted, and those that have its hash but not its bytes
-            odd = ~new & (x["bytes"] != x["bytes"][begins[group]]).any(axis=1)
-            part = (group // SORT_WINDOWS).astype(np.int64)
-            later = [np.zeros(0, np.int64)]
-            for k in range(part[-1] + 1):
-                lo, hi = np.searchsorted(part, [k, k + 1])
-                sorted_ = lo + np.flatnonzero(new[lo:hi] | odd[lo:hi])
-                kinds = Suffixes(x["bytes"][sorted_]).classes()
-                own = np.searchsorted(sorted_, np.where(odd[lo:hi], np.arange(lo, hi), begins[group[lo:hi]]))
-                kind, doc = kinds[own], x["doc"][lo:hi]
-                least = np.full(len(kinds), np.iinfo(np.int64).max)
-                np.minimum.at(least, kind, doc)
-                later.append(lo + np.flatnonzero(doc > least[kind]))
-            later = np.concatenate(later)
-            s = x["s"][later].astype(np.int64)
-            out.append(_rows(REMOVED, *merged_spans(x["doc"][later], x["variant"][later], s, s + window).values()))
+                windows.append(x | {"bytes": x["bytes"].reshape(-1, window)})
+        if windows:
+            out.append(_later_windows(joined(windows), window))
+        if ranges:
+            out += [_later_windows(x, window) for x in _cut_out(joined(ranges), window)]
         return pd.concat(out, ignore_index=True)
 
-    sent = texts.select("doc_id", "variant", "text", "ranges").mapInArrow(send, "bucket long, blob binary")
-    return sent.groupBy("bucket").applyInPandas(lambda frame: meet(frame), SPAN)
+    return sent_windows(texts, window, n_buckets).groupBy("bucket").applyInPandas(lambda frame: meet(frame), SPAN)
 
 
 def _variants(named: DataFrame) -> DataFrame:
@@ -455,7 +526,7 @@ def without_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = GRAM,
     n_buckets = max(16, -(-total // bucket_bytes))
     found = materialise(anchor_spans(texts, window, gram, n_buckets), "anchor-spans")
     pair = F.struct("start", "end")
-    still = found.filter(F.col("kind") == OPEN).groupBy("doc_id", "variant").agg(F.collect_list(pair).alias("ranges"))
+    still = found.filter(F.col("kind") == OPEN).groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "end", "key")).alias("ranges"))
     proved = found.filter(F.col("kind") == REMOVED)
     more = window_spans(texts.join(still, ["doc_id", "variant"]), window, n_buckets)
     spans = proved.unionByName(more).groupBy("doc_id", "variant").agg(F.array_sort(F.collect_list(pair)).alias("spans"))

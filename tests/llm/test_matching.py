@@ -165,6 +165,24 @@ def test_byte_dedup_of_two_texts_of_one_id(spark):
     assert got.filter("doc_id <> 7 AND n_removed > 0").count() == 0
 
 
+@pytest.mark.parametrize("wide", [0, 60, 50_000])
+def test_byte_dedup_in_small_pieces(spark, docs, table, monkeypatch, wide):
+    """Ranges of an anchor meet as text, or window by window where an anchor has many."""
+    for name, value in (("WIDE_GROUP", wide), ("MEET_WINDOWS", 40), ("FLUSH_BYTES", 500), ("FLUSH_WINDOWS", 300)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    assert _bytes(suffix_dedup.without_repeated_bytes(table, bucket_bytes=2_000)) == brute.byte_dedup(docs)
+
+
+def test_open_ranges_travel_as_text(spark):
+    """Every window was sent with all its bytes, about 40 after compression."""
+    rng = random.Random(10)
+    texts = [(i, 0, data.prose(rng, 200), [(5, 405, i % 9)]) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, variant long, text string, ranges array<struct<start: long, end: long, key: long>>")
+    sent = suffix_dedup.sent_windows(df.coalesce(1), 50, 4)
+    assert sent.agg(F.sum(F.length("blob"))).first()[0] < 60 * 400 * 2
+    assert {r["bucket"] for r in sent.collect()} == {0, 1, 2, 3}
+
+
 def test_suffix_order():
     import numpy as np
     rows = np.array([list(b"banana"), list(b"ananas"), list(b"banana"), list(b"anabas"), list(b"zzzzzz")], np.uint8)
