@@ -101,3 +101,35 @@ def test_a_table_leaves_no_shuffle_files(spark):
     table = session.materialise(spark.range(5_000).groupBy((F.col("id") % 700).alias("k")).agg(F.sum("id").alias("s")), "sums")
     assert not files() - before and table.count() == 700
     assert spark.conf.get(session.CLEANUP_CONF, None) == setting
+
+
+def test_training_set_in_turns(spark, monkeypatch, many, movies):
+    """A large frame: the views of one key are joined for a part of its values at a time; the shuffle files of all joins stood side by side."""
+    sources = training.history_sources(many, movies)
+    few = training.training_set(many, sources)
+    monkeypatch.setattr(pit, "TURN_ROWS", 20)
+    parts, own = [], pit.materialise_in_turn
+    monkeypatch.setattr(pit, "materialise_in_turn", lambda frames, name: (parts.append(len(frames)), own(frames, name))[1])
+    turns = training.training_set(many, sources)
+    assert turns.columns == few.columns and rows(turns) == rows(few) and turns.count() == 48
+    assert len(parts) == 2 and min(parts) > 2  # users and pairs, then movies
+    assert "Exchange" not in turns._jdf.queryExecution().executedPlan().toString()
+    assert [[view.name for view, *_ in group] for _, group in pit._side_by_side(sources)] == [["user_stats", "interactions"], ["movie_stats"]]
+    hot = training.training_set(many, sources, hot_rows=3)
+    assert rows(hot) == rows(few)
+
+
+def test_views_without_a_common_key_are_joined_alone(spark, monkeypatch):
+    from tastelake.sources.catalog import Entity, FeatureView
+    from pyspark.sql import types as T
+
+    def source(name, key, shift):
+        schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("x", T.LongType()), T.StructField("event_timestamp", T.LongType())])
+        return FeatureView(name, (Entity(key, (key,)),), schema), spark.createDataFrame([(i % 4, i + shift, i) for i in range(20)], schema)
+
+    sources = [source("v", "a", 0), source("w", "b", 100), source("u", "a", 200)]
+    entities = spark.createDataFrame([(i % 5, i % 3 if i % 7 else None, i) for i in range(30)], "a long, b long, event_timestamp long")
+    few = pit.historical_features(entities, sources)
+    monkeypatch.setattr(pit, "TURN_ROWS", 10)
+    turns = pit.historical_features(entities, sources)
+    assert turns.columns == few.columns == ["a", "b", "event_timestamp", "v__x", "w__x", "u__x"] and rows(turns) == rows(few)
